@@ -31,7 +31,8 @@ def index_terms(text: Column, bigrams: bool = True, stopwords=V.CLEAN_STOPWORDS)
 
 def postings(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
     """(key, term, tf).  The histogram is taken inside the row, so building postings needs no shuffle."""
-    return docs.select(key, F.explode(T.run_lengths(terms)).alias("p")).select(
+    counted = docs.select(key, T.run_lengths(terms).alias("h"))
+    return counted.select(key, F.explode("h").alias("p")).select(
         key, F.col("p.item").alias("term"), F.col("p.n").alias("tf")
     )
 
@@ -138,7 +139,9 @@ def bm25_top_k(
     idf = _maybe_broadcast(idf)
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("dl") / sizes["avgdl"])
     hits = (
-        docs.select(key, F.size(words).alias("dl"), F.explode(T.run_lengths(words)).alias("p"))
+        # sizes and histograms come before the explode: beside it they would be evaluated once per exploded row
+        docs.select(key, F.size(words).alias("dl"), T.run_lengths(words).alias("h"))
+        .select(key, "dl", F.explode("h").alias("p"))
         .select(key, "dl", F.col("p.item").alias("term"), F.col("p.n").alias("tf"))
         .join(idf, "term")
         .select(key, "term_id", (F.col("idf") * F.col("tf") * (k1 + 1) / saturation).alias("w"))

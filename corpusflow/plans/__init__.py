@@ -6,7 +6,7 @@ import importlib
 
 from corpusflow.plans import registry
 
-MODULES = ("clean", "retrieval")
+MODULES = ("clean", "retrieval", "structure")
 
 
 def _load() -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 # A side may be broadcast or collected only when a counted check proves it within these bounds.
 MAX_BROADCAST_ROWS = 200_000
 MAX_COLLECTED_QUERIES = 4096
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def local_session(cores: str = "*", app: str = "corpusflow", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,4 +52,10 @@ def within(df: DataFrame, rows: int) -> bool:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A parquet table; one that reads as fewer tasks than there are cores is spread over all of them.
+
+    Only small tables (a few row groups) are spread; a large one has more splits than cores and is left as scanned.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
