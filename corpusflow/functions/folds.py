@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
-GROUPS = "array<array<int>>"
+# types as objects: workers import this module without a session to parse type strings
+GROUPS = ArrayType(ArrayType(IntegerType()))
 
 
 def assemble(items: Column, groups: Column, separator: str) -> Column:
@@ -33,7 +35,7 @@ def _grouping(fold: Callable[..., list[list[int]]]):
     return apply
 
 
-@pandas_udf("array<int>")
+@pandas_udf(ArrayType(IntegerType()))
 def running_total(values: pd.Series) -> pd.Series:
     """Sum of everything up to and including each item."""
     return values.map(lambda v: None if v is None else np.cumsum(v, dtype="int64").astype("int32"))
@@ -57,33 +59,58 @@ def pair_up(edges: Column) -> Column:
     return pairs(edges)
 
 
-def pack(lengths: Column, limit: int, separator: int = 2, minimum: int = 0, counted: int | None = None) -> Column:
+def pack(
+    lengths: Column, limit: int, separator: int = 2, minimum: int = 0, counted: int | None = None,
+    breaks: Column | None = None,
+) -> Column:
     """Greedy bins: an item opens a new bin when it would push a bin of at least `minimum` characters past `limit`.
 
     `separator` characters join the items of a bin; `counted` of them enter the overflow test (default: the joined size).
+    An item with a true `breaks` flag opens a new bin in any case.
     """
+    tested_gap = separator if counted is None else counted
 
-    def fold(sizes) -> list[list[int]]:
-        groups, used = [], 0
+    def fold(sizes, flags=None) -> list[list[int]]:
+        groups: list[list[int]] = []
+        used = 0
         for i, size in enumerate(sizes):
-            gap = separator if groups else 0
-            tested = used + (gap if counted is None else counted) + size
-            if groups and tested > limit and used >= minimum:
+            full = used + tested_gap + size > limit and used >= minimum
+            if not groups or full or (flags is not None and flags[i]):
                 groups.append([i])
                 used = int(size)
-            elif groups:
+            else:
                 groups[-1].append(i)
                 used += separator + int(size)
-            else:
-                groups.append([i])
-                used = int(size)
         return groups
 
     @pandas_udf(GROUPS)
     def bins(sizes: pd.Series) -> pd.Series:
         return _grouping(fold)(sizes)
 
-    return bins(lengths)
+    @pandas_udf(GROUPS)
+    def broken_bins(sizes: pd.Series, flags: pd.Series) -> pd.Series:
+        return _grouping(fold)(sizes, flags)
+
+    return bins(lengths) if breaks is None else broken_bins(lengths, breaks)
+
+
+def merge_small(lengths: Column, fixed: Column, minimum: int) -> Column:
+    """An item below `minimum` that is not fixed joins the group before it."""
+
+    def fold(sizes, flags) -> list[list[int]]:
+        groups: list[list[int]] = []
+        for i, size in enumerate(sizes):
+            if groups and size < minimum and not flags[i]:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        return groups
+
+    @pandas_udf(GROUPS)
+    def merged(sizes: pd.Series, flags: pd.Series) -> pd.Series:
+        return _grouping(fold)(sizes, flags)
+
+    return merged(lengths, fixed)
 
 
 def merge_short(lengths: Column, own: Column, short: int, limit: float, keep: int) -> Column:
@@ -164,7 +191,7 @@ def adjust_boundaries(boundary: Column, similarity: Column, high: float, low: fl
     boundary[i] marks item i as a segment start, similarity[i] compares items i and i + 1 (null when either is empty).
     """
 
-    @pandas_udf("array<boolean>")
+    @pandas_udf(ArrayType(BooleanType()))
     def revised(starts: pd.Series, near: pd.Series) -> pd.Series:
         def fold(flags, values):
             flags = [bool(f) for f in flags]

@@ -469,3 +469,29 @@ def run_lengths(items: Column) -> Column:
         )
 
     return let(F.sort_array(items), measured)
+
+
+def first_seen_counts(items: Column) -> Column:
+    """Like run_lengths, with the position where each item first occurs: [(item, n, first)]."""
+    placed = F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+
+    def measured(ordered: Column) -> Column:
+        opened = F.transform(
+            ordered,
+            lambda s, i: F.when(
+                (i == 0) | (s["x"] != F.get(ordered, i - 1)["x"]), F.struct(s["x"].alias("x"), s["i"].alias("i"), i.alias("at"))
+            ),
+        )
+        return let(
+            F.filter(opened, lambda s: s.isNotNull()),
+            lambda starts: F.transform(
+                starts,
+                lambda s, j: F.struct(
+                    s["x"].alias("item"),
+                    (F.coalesce(F.get(starts, j + 1)["at"], F.size(ordered)) - s["at"]).cast("bigint").alias("n"),
+                    s["i"].alias("first"),
+                ),
+            ),
+        )
+
+    return let(F.sort_array(placed), measured)
