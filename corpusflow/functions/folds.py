@@ -20,6 +20,15 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 GROUPS = ArrayType(ArrayType(IntegerType()))
 
 
+def row_udf(returns):
+    """A pandas UDF that the optimizer evaluates once per row: it may neither copy it into filters nor inline it."""
+
+    def wrap(fn):
+        return pandas_udf(fn, returns).asNondeterministic()
+
+    return wrap
+
+
 def assemble(items: Column, groups: Column, separator: str) -> Column:
     """array<array<position>> -> array<joined text>."""
     return F.transform(groups, lambda g: F.array_join(F.transform(g, lambda i: F.get(items, i)), separator))
@@ -35,7 +44,7 @@ def _grouping(fold: Callable[..., list[list[int]]]):
     return apply
 
 
-@pandas_udf(ArrayType(IntegerType()))
+@row_udf(ArrayType(IntegerType()))
 def running_total(values: pd.Series) -> pd.Series:
     """Sum of everything up to and including each item."""
     return values.map(lambda v: None if v is None else np.cumsum(v, dtype="int64").astype("int32"))
@@ -52,7 +61,7 @@ def pair_up(edges: Column) -> Column:
             i += step
         return groups
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def pairs(flags: pd.Series) -> pd.Series:
         return _grouping(fold)(flags)
 
@@ -83,11 +92,11 @@ def pack(
                 used += separator + int(size)
         return groups
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def bins(sizes: pd.Series) -> pd.Series:
         return _grouping(fold)(sizes)
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def broken_bins(sizes: pd.Series, flags: pd.Series) -> pd.Series:
         return _grouping(fold)(sizes, flags)
 
@@ -106,7 +115,7 @@ def merge_small(lengths: Column, fixed: Column, minimum: int) -> Column:
                 groups.append([i])
         return groups
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def merged(sizes: pd.Series, flags: pd.Series) -> pd.Series:
         return _grouping(fold)(sizes, flags)
 
@@ -131,7 +140,7 @@ def merge_short(lengths: Column, own: Column, short: int, limit: float, keep: in
                 used = int(raw[i])
         return groups
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def merged(stripped: pd.Series, raw: pd.Series) -> pd.Series:
         return _grouping(fold)(stripped, raw)
 
@@ -153,7 +162,7 @@ def cut_at_boundaries(lengths: Column, safe: Column, target: int, maximum: int)
             fresh = used >= maximum or (used >= target and bool(flags[i]))
         return groups
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def cuts(sizes: pd.Series, flags: pd.Series) -> pd.Series:
         return _grouping(fold)(sizes, flags)
 
@@ -178,7 +187,7 @@ def bounded_bins(lengths: Column, limit: int) -> Column:
                 used, closed = int(size), False
         return groups
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def bins(sizes: pd.Series) -> pd.Series:
         return _grouping(fold)(sizes)
 
@@ -191,7 +200,7 @@ def adjust_boundaries(boundary: Column, similarity: Column, high: float, low: fl
     boundary[i] marks item i as a segment start, similarity[i] compares items i and i + 1 (null when either is empty).
     """
 
-    @pandas_udf(ArrayType(BooleanType()))
+    @row_udf(ArrayType(BooleanType()))
     def revised(starts: pd.Series, near: pd.Series) -> pd.Series:
         def fold(flags, values):
             flags = [bool(f) for f in flags]
@@ -221,7 +230,7 @@ def segments(starts: Column) -> Column:
             groups[-1].append(i)
         return groups
 
-    @pandas_udf(GROUPS)
+    @row_udf(GROUPS)
     def cut(flags: pd.Series) -> pd.Series:
         return _grouping(fold)(flags)
 
