@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
+from corpusflow.session import cut_lineage
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", lower: bool = False) -> DataFrame:
@@ -27,3 +28,128 @@ def clean_batch(docs: DataFrame, key: str = "doc_id", text: str = "text", search
         content = T.optimize_for_search(content)
     cleaned = docs.filter(T.strip(F.col(text)) != "").select(key, content.alias("out"))
     return drop_exact_duplicates(cleaned.filter(T.strip(F.col("out")) != ""), key, "out", lower=True)
+
+
+# --- near duplicates ---------------------------------------------------------------------------------------------------------
+
+HOT_WORDS = 1000
+
+
+def _word_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per distinct normalised text: (id, n, size, words), the smallest key standing for its exact copies."""
+    normal = T.normalize_whitespace(F.lower(F.col(text)))
+    filled = docs.select(F.col(key).alias("id"), normal.alias("t")).filter(F.col("t") != "")
+    first = filled.groupBy(F.sha2("t", 256).alias("h")).agg(F.min_by("t", "id").alias("t"), F.min("id").alias("id"))
+    words = F.array_distinct(F.split("t", " "))
+    return first.select("id", F.length("t").alias("n"), words.alias("words")).withColumn("size", F.size("words"))
+
+
+def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
+    """Adds `prefix`: the words of a set that any similar set must share one of.
+
+    A set of s words with overlap threshold t shares a word among its first s - ceil(t s) + 1 words in one global order.
+    Rare words come first: the most frequent HOT_WORDS words (a bounded list) go last, by frequency, so that buckets stay
+    small.  The order is applied inside the row.
+    """
+    counts = sets.select(F.explode("words").alias("w")).groupBy("w").count()
+    hot = [r["w"] for r in counts.orderBy(F.col("count").desc(), "w").limit(HOT_WORDS).collect()]
+    order = F.array(*(F.lit(w) for w in reversed(hot))) if hot else F.array().cast("array<string>")
+    ordered = F.concat(F.sort_array(F.array_except("words", order)), F.array_intersect(order, F.col("words")))
+    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
+    return sets.withColumn("prefix", F.slice(ordered, F.lit(1), length))
+
+
+def _similar(threshold: float):
+    """Condition between rows a (earlier) and b: comparable lengths and enough common words."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    near = F.abs(na - nb) <= F.greatest(na, nb) * (1 - threshold)
+    common = F.size(F.array_intersect("a.words", "b.words"))
+    return near & (common / (F.col("a.size") + F.col("b.size") - common) >= threshold)
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", pair_budget: int = 20, max_rounds: int = 50
+) -> DataFrame:
+    """(key, keeper): greedy keep-first near-duplicate removal; keeper is null for kept rows, else the first kept match.
+
+    A row goes when an earlier kept row has comparable length and word-set Jaccard of at least the threshold.
+
+    Rounds: a row that is the smallest undecided id of all its buckets has no earlier undecided neighbour, so it is kept,
+    and everything in those buckets is compared with it alone.  A round therefore makes at most one pair per bucket entry,
+    however large a group of copies is.  Once the undecided buckets hold few pairs (`pair_budget` per row), the remaining
+    pairs are verified once and the same rule runs on the verified pairs.  Both ways are exact.
+    """
+    sets = cut_lineage(_rare_first(_word_sets(docs, key, text), threshold))
+    index = cut_lineage(sets.select("id", F.explode("prefix").alias("w")))
+    spark = docs.sparkSession
+    decided = spark.createDataFrame([], "id bigint, keeper bigint")
+    undecided = sets.select("id")
+    for round_no in range(max_rounds):
+        sizes = index.groupBy("w").count()
+        load = sizes.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
+        if not load["rows"] or load["pairs"] <= pair_budget * load["rows"]:
+            break
+        leads = index.groupBy("w").agg(F.min("id").alias("lead"))
+        status = index.join(leads, "w").groupBy("id").agg(F.min((F.col("id") == F.col("lead")).cast("int")).alias("first"))
+        kept = cut_lineage(status.filter(F.col("first") == 1).select("id"))
+        tried = (
+            index.join(leads.join(kept, leads["lead"] == kept["id"], "left_semi"), "w")
+            .filter(F.col("id") != F.col("lead")).select("id", "lead").distinct()
+        )
+        dropped = cut_lineage(_matches(tried, sets, threshold))
+        decided = cut_lineage(
+            decided.unionByName(kept.withColumn("keeper", F.lit(None).cast("bigint"))).unionByName(dropped)
+        )
+        undecided = cut_lineage(sets.select("id").join(decided, "id", "left_anti"))
+        index = cut_lineage(index.join(undecided, "id", "left_semi"))
+    pairs = _pairs_within(index, sets, threshold)
+    rest = _keep_first(undecided, cut_lineage(pairs))
+    # a dropped row names the first kept row it matches, whichever round decided it
+    state = decided.unionByName(rest)
+    return state.select(F.col("id").alias(key), "keeper")
+
+
+def _matches(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, keeper) for the tried (id, lead) pairs that are similar; the smallest lead wins."""
+    body = sets.select("id", "n", "size", "words")
+    joined = tried.join(body.alias("a"), F.col("a.id") == F.col("lead")).join(body.alias("b"), F.col("b.id") == tried["id"])
+    return joined.filter((F.col("lead") < tried["id"]) & _similar(threshold)).groupBy(tried["id"].alias("id")).agg(F.min("lead").alias("keeper"))
+
+
+def _pairs_within(index: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Verified (id, lead) pairs of undecided rows that share a prefix word."""
+    left, right = index.withColumnRenamed("id", "lead"), index
+    tried = left.join(right, "w").filter(F.col("lead") < F.col("id")).select("id", "lead").distinct()
+    body = sets.select("id", "n", "size", "words")
+    joined = tried.join(body.alias("a"), F.col("a.id") == F.col("lead")).join(body.alias("b"), F.col("b.id") == tried["id"])
+    return joined.filter(_similar(threshold)).select(tried["id"].alias("id"), "lead")
+
+
+def _keep_first(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, keeper): ids kept when all their earlier neighbours are dropped, dropped when one is kept; in rounds."""
+    state = cut_lineage(rows.join(pairs.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast("bigint").alias("keeper")))
+    open_pairs = pairs
+    while True:
+        kept = state.filter(F.col("keeper").isNull()).select(F.col("id").alias("lead"))
+        dropped = open_pairs.join(kept, "lead", "left_semi").groupBy("id").agg(F.min("lead").alias("keeper"))
+        dropped = cut_lineage(dropped)
+        gone = dropped.select("id")
+        left = open_pairs.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "lead"), "lead", "left_anti")
+        waiting = open_pairs.select("id").distinct().join(gone, "id", "left_anti")
+        free = waiting.join(left.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast("bigint").alias("keeper"))
+        state = cut_lineage(state.unionByName(dropped).unionByName(free))
+        open_pairs = cut_lineage(left)
+        if open_pairs.isEmpty():
+            return _first_keepers(state, pairs)
+
+
+def _first_keepers(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The smallest kept neighbour of every dropped row."""
+    kept = state.filter(F.col("keeper").isNull()).select(F.col("id").alias("lead"))
+    best = pairs.join(kept, "lead", "left_semi").groupBy("id").agg(F.min("lead").alias("k"))
+    return state.join(best, "id", "left").select("id", F.when(F.col("keeper").isNotNull(), F.col("k")).alias("keeper"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    kept = near_duplicates(docs, threshold, key, text).filter(F.col("keeper").isNull())
+    return docs.join(kept, key, "left_semi")

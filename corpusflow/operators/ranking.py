@@ -110,7 +110,7 @@ def rerank(
     return (
         results.withColumn("document_quality", F.round(quality, 6))
         .withColumn("metadata_quality", F.round(meta, 6))
-        .withColumn("final_score", F.round(final, 6))
+        .withColumn("final_score", F.round(final, 8))
         .withColumn("new_rank", F.row_number().over(order))
     )
 
@@ -125,7 +125,7 @@ def source_table(reranked: DataFrame, text: str = "text", distance: str = "dista
         F.coalesce("file_name", unknown).alias("file_name"),
         F.coalesce(F.col("page").cast("string"), F.lit("N/A")).alias("page"),
         F.coalesce("chunk_id", F.concat(F.lit("chunk_"), F.col("new_rank") - 1)).alias("chunk_id"),
-        F.round(relevance_percent(F.col(distance)), 4).alias("relevance_score"),
+        F.round(relevance_percent(F.col(distance)), 6).alias("relevance_score"),
         F.length(text).alias("content_length"),
         F.coalesce("extraction_method", unknown).alias("extraction_method"),
         F.coalesce("processing_method", unknown).alias("processing_method"),

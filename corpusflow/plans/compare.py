@@ -14,7 +14,7 @@ TABLES = (
 
 def _cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(round(value, 6) + 0.0)
+        return "nan" if math.isnan(value) else repr(round(value, 9) + 0.0)
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, (list, tuple)):

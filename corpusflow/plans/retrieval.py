@@ -229,13 +229,13 @@ def cell_pruned_all_cells(spark, sf):
 
 @register("normalized_scores", f"""
     WITH {CENTROIDS}, {nearest('near', 'centres', 'vecs', 'vec_id')}
-    SELECT query_id, vec_id, round(greatest(0, least(1, (2.0 - distance) / 2.0)), 4) AS relevance,
-           round(greatest(0, least(100, (2.0 - distance) * 50)), 3) AS percent FROM near""")
+    SELECT query_id, vec_id, round(greatest(0, least(1, (2.0 - distance) / 2.0)), 8) AS relevance,
+           round(greatest(0, least(100, (2.0 - distance) * 50)), 6) AS percent FROM near""")
 def normalized_scores(spark, sf):
     near = vector_ranked(spark, sf)
     return near.select(
-        "query_id", "vec_id", F.round(ranking.relevance(F.col("distance")), 4).alias("relevance"),
-        F.round(ranking.relevance_percent(F.col("distance")), 3).alias("percent"),
+        "query_id", "vec_id", F.round(ranking.relevance(F.col("distance")), 8).alias("relevance"),
+        F.round(ranking.relevance_percent(F.col("distance")), 6).alias("percent"),
     )
 
 
