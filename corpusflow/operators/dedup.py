@@ -70,7 +70,7 @@ def _similar(threshold: float):
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", pair_budget: int = 20, max_rounds: int = 50
 ) -> DataFrame:
-    """(key, keeper): greedy keep-first near-duplicate removal; keeper is null for kept rows, else the first kept match.
+    """(key, keeper): greedy keep-first near-duplicate removal; keeper is null for kept rows, else the kept row that removed it.
 
     A row goes when an earlier kept row has comparable length and word-set Jaccard of at least the threshold.
 
@@ -104,9 +104,7 @@ def near_duplicates(
         index = cut_lineage(index.join(undecided, "id", "left_semi"))
     pairs = _pairs_within(index, sets, threshold)
     rest = _keep_first(undecided, cut_lineage(pairs))
-    # a dropped row names the first kept row it matches, whichever round decided it
-    state = decided.unionByName(rest)
-    return state.select(F.col("id").alias(key), "keeper")
+    return decided.unionByName(rest).select(F.col("id").alias(key), "keeper")
 
 
 def _matches(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

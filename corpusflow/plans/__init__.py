@@ -6,7 +6,7 @@ import importlib
 
 from corpusflow.plans import registry
 
-MODULES = ("clean", "retrieval", "structure")
+MODULES = ("clean", "retrieval", "structure", "chunking", "expansion", "context", "dedup", "quality", "search")
 
 
 def _load() -> None:
