@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+
 from corpusflow import fixed_values as V
+from corpusflow.functions.folds import row_udf
 
+STEPS = StructType([StructField("starts", ArrayType(LongType())), StructField("lasts", ArrayType(LongType()))])
 MICROS = 1_000_000
 
 
@@ -21,7 +25,8 @@ def _next_fresh(times: np.ndarray, ttl: int) -> np.ndarray:
 
 
 def fresh_events(
-    events: DataFrame, keys: list[str], ts: str = "ts", ttl_seconds: int = V.CACHE_TTL_SECONDS, span_seconds: int = 86_400
+    events: DataFrame, keys: list[str], ts: str = "ts", ttl_seconds: int = V.CACHE_TTL_SECONDS, span_seconds: int = 86_400,
+    tie: str = "event_id",
 ) -> DataFrame:
     """Events with `fresh`: true where the key has no fresh event less than ttl before.
 
@@ -30,52 +35,68 @@ def fresh_events(
     in order; then every span is marked on its own from its entry time.  A key with a third of all events is spread over
     as many tasks as it has spans.
     """
-    ttl = ttl_seconds * MICROS
-    timed = events.withColumn("_t", F.unix_micros(ts)).withColumn("_c", F.floor(F.col("_t") / (span_seconds * MICROS)))
-    by_key = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-
-    def steps(group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["_t"].to_numpy())
-        follow, last = _next_fresh(times, ttl), np.empty(len(times), dtype="int64")
-        for i in range(len(times) - 1, -1, -1):
-            last[i] = times[i] if follow[i] == len(times) else last[follow[i]]
-        span_start = int(group["_c"].iloc[0]) * span_seconds * MICROS
-        entries = min(len(times), int(np.searchsorted(times, span_start + ttl, side="left")) + 1)
-        change = np.append(last[1:entries] != last[: entries - 1], True)
-        out = {k: [group[k].iloc[0]] for k in keys}
-        out.update(_c=[group["_c"].iloc[0]], starts=[times[:entries][change]], lasts=[last[:entries][change]])
-        return pd.DataFrame(out)
-
-    summary = timed.select(*keys, "_c", "_t").groupBy(*keys, "_c").applyInPandas(
-        steps, f"{by_key}, _c bigint, starts array<bigint>, lasts array<bigint>"
+    ttl, span = ttl_seconds * MICROS, span_seconds * MICROS
+    columns = [c for c in events.columns if c not in keys]
+    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_c", F.floor(F.col("_t") / span))
+    spans = timed.groupBy(*keys, "_c").agg(
+        F.sort_array(F.collect_list(F.struct("_t", F.col(tie).alias("_tie"), F.struct(*columns).alias("row")))).alias("e")
     )
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_c")
-        allowed, entry = np.iinfo("int64").min, []
-        for starts, lasts in zip(group["starts"], group["lasts"]):
-            entry.append(allowed)
-            at = int(np.searchsorted(np.asarray(starts), allowed, side="left"))
-            if at < len(lasts):
-                allowed = int(lasts[at]) + ttl
-        return group[[*keys, "_c"]].assign(entry=entry)
-
-    entries = summary.groupBy(*keys).applyInPandas(fold, f"{by_key}, _c bigint, entry bigint")
-
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_t", kind="stable").reset_index(drop=True)
-        times, fresh = group["_t"].to_numpy(), np.zeros(len(group), dtype=bool)
-        at = int(np.searchsorted(times, group["entry"].iloc[0], side="left"))
-        while at < len(times):
-            fresh[at] = True
-            at = int(np.searchsorted(times, times[at] + ttl, side="left"))
-        return group.drop(columns=["_t", "_c", "entry"]).assign(fresh=fresh)
-
-    return timed.join(entries, [*keys, "_c"]).groupBy(*keys, "_c").applyInPandas(
-        mark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", fresh boolean"
+    spans = spans.withColumn("t", F.transform("e", lambda e: e["_t"]))
+
+    @row_udf(STEPS)
+    def steps(times: pd.Series, span_no: pd.Series) -> pd.DataFrame:
+        rows = [_steps(np.asarray(t), int(c) * span, ttl) for t, c in zip(times, span_no)]
+        return pd.DataFrame(rows, columns=["starts", "lasts"])
+
+    @row_udf(ArrayType(LongType()))
+    def entry_times(starts: pd.Series, lasts: pd.Series) -> pd.Series:
+        return pd.Series([_entries(s, ends, ttl) for s, ends in zip(starts, lasts)], index=starts.index, dtype="object")
+
+    @row_udf(ArrayType(BooleanType()))
+    def marks(times: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([_marks(np.asarray(t), int(e), ttl) for t, e in zip(times, entry)], index=times.index, dtype="object")
+
+    reduced = spans.select(*keys, "_c", steps("t", "_c").alias("s"))
+    chains = reduced.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_c", "s.starts", "s.lasts"))).alias("x"))
+    entered = chains.select(
+        *keys, F.transform("x", lambda x: x["_c"]).alias("c"), entry_times(F.transform("x", lambda x: x["starts"]), F.transform("x", lambda x: x["lasts"])).alias("n")
+    ).select(*keys, F.explode(F.arrays_zip("c", "n")).alias("z")).select(*keys, F.col("z.c").alias("_c"), F.col("z.n").alias("entry"))
+    marked = spans.join(entered, [*keys, "_c"]).withColumn("fresh", marks("t", "entry"))
+    return marked.select(*keys, F.explode(F.arrays_zip("e", "fresh")).alias("z")).select(
+        *keys, *(F.col(f"z.e.row.{c}").alias(c) for c in columns), F.col("z.fresh").alias("fresh")
     )
 
 
+def _steps(times: np.ndarray, span_start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lasts): the chain entered at the first event not before an allowed time ends at `lasts`."""
+    follow, last = _next_fresh(times, ttl), np.empty(len(times), dtype="int64")
+    for i in range(len(times) - 1, -1, -1):
+        last[i] = times[i] if follow[i] == len(times) else last[follow[i]]
+    entries = min(len(times), int(np.searchsorted(times, span_start + ttl, side="left")) + 1)
+    change = np.append(last[1:entries] != last[: entries - 1], True)
+    return times[:entries][change], last[:entries][change]
+
+
+def _entries(starts, lasts, ttl: int) -> list[int]:
+    """Earliest allowed time of every span of a key, in order."""
+    allowed, out = np.iinfo("int64").min, []
+    for s, ends in zip(starts, lasts):
+        out.append(int(allowed))
+        at = int(np.searchsorted(np.asarray(s), allowed, side="left"))
+        if at < len(ends):
+            allowed = int(ends[at]) + ttl
+    return out
+
+
+def _marks(times: np.ndarray, entry: int, ttl: int) -> np.ndarray:
+    fresh = np.zeros(len(times), dtype=bool)
+    at = int(np.searchsorted(times, entry, side="left"))
+    while at < len(times):
+        fresh[at] = True
+        at = int(np.searchsorted(times, times[at] + ttl, side="left"))
+    return fresh
+
+
 def fresh_stream(
     events: DataFrame, keys: list[str], ts: str = "ts", ttl_seconds: int = V.CACHE_TTL_SECONDS, delay: str = "10 minutes"
 ) -> DataFrame:
