@@ -31,6 +31,7 @@ def main() -> None:
         start = time.time()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     documents = spark.read.parquet(f"{folder}/documents.parquet").count()
     asked = spark.read.parquet(f"{folder}/benchmark.parquet").count()
     result = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
+from corpusflow.operators.lexical import explode_once
 from corpusflow.session import cut_lineage
 
 
@@ -51,7 +52,7 @@ def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
     Rare words come first: the most frequent HOT_WORDS words (a bounded list) go last, by frequency, so that buckets stay
     small.  The order is applied inside the row.
     """
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").count()
+    counts = explode_once(sets.select("words"), "words", "w").groupBy("w").count()
     hot = [r["w"] for r in counts.orderBy(F.col("count").desc(), "w").limit(HOT_WORDS).collect()]
     order = F.array(*(F.lit(w) for w in reversed(hot))) if hot else F.array().cast("array<string>")
     ordered = F.concat(F.sort_array(F.array_except("words", order)), F.array_intersect(order, F.col("words")))

@@ -29,10 +29,20 @@ def index_terms(text: Column, bigrams: bool = True, stopwords=V.CLEAN_STOPWORDS)
     )
 
 
+def explode_once(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows of an array column that is expensive to compute.
+
+    For a plain explode the optimizer adds a filter on the array's size below it, which computes the array again; the
+    outer form has no such filter.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode_outer(column).alias(name)).filter(F.col(name).isNotNull())
+
+
 def postings(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
     """(key, term, tf).  The histogram is taken inside the row, so building postings needs no shuffle."""
     counted = docs.select(key, T.run_lengths(terms).alias("h"))
-    return counted.select(key, F.explode("h").alias("p")).select(
+    return explode_once(counted, "h", "p").select(
         key, F.col("p.item").alias("term"), F.col("p.n").alias("tf")
     )
 
@@ -141,7 +151,7 @@ def bm25_top_k(
     hits = (
         # sizes and histograms come before the explode: beside it they would be evaluated once per exploded row
         docs.select(key, F.size(words).alias("dl"), T.run_lengths(words).alias("h"))
-        .select(key, "dl", F.explode("h").alias("p"))
+        .transform(explode_once, "h", "p")
         .select(key, "dl", F.col("p.item").alias("term"), F.col("p.n").alias("tf"))
         .join(idf, "term")
         .select(key, "term_id", (F.col("idf") * F.col("tf") * (k1 + 1) / saturation).alias("w"))

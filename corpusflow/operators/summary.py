@@ -9,6 +9,7 @@ from corpusflow import fixed_values as V
 from corpusflow.functions import sentences as L
 from corpusflow.functions import text as T
 from corpusflow.operators import ranking
+from corpusflow.operators.lexical import explode_once
 from corpusflow.session import cut_lineage
 
 
@@ -29,9 +30,10 @@ def key_sentences(
     def terms(c: Column) -> Column:
         return F.filter(T.tokens(c), lambda t: ~t.isin(*stopwords))
 
-    rows = long.select(
-        key, F.size("s").alias("total"), F.posexplode(F.transform("s", lambda s: T.run_lengths(terms(s)))).alias("sent_no", "h")
-    ).select(key, "total", "sent_no", F.explode("h").alias("p"))
+    counted = F.transform("s", lambda s, i: F.transform(T.run_lengths(terms(s)), lambda h: F.struct(i.alias("sent_no"), h["item"].alias("item"), h["n"].alias("n"))))
+    rows = explode_once(long.select(key, F.size("s").alias("total"), F.flatten(counted).alias("h")), "h", "p").select(
+        key, "total", "p.sent_no", "p"
+    )
     flat = rows.select(key, "total", "sent_no", F.col("p.item").alias("term"), F.col("p.n").alias("tf"))
     # per document: term -> [(sentence, tf)], whose size is the document frequency of the term
     by_term = flat.groupBy(key, "total", "term").agg(F.collect_list(F.struct("sent_no", "tf")).alias("at"))
