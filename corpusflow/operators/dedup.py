@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,17 @@ def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.withColumn("prefix", F.slice(ordered, F.lit(1), length))
 
 
+def _bucketed(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, w, n, size): bucket entries of a row, one per prefix word in its own size band and in the next.
+
+    Bands are a factor of the threshold wide, so the sizes of similar sets are at most one band apart and meet in a bucket.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+    return sets.select("id", "n", "size", F.explode("prefix").alias("word"), band.alias("band")).select(
+        "id", F.explode(F.array(F.concat_ws("#", "word", "band"), F.concat_ws("#", "word", F.col("band") + 1))).alias("w"), "n", "size"
+    )
+
+
 def _similar(threshold: float):
     """Condition between rows a (earlier) and b: comparable lengths and enough common words."""
     na, nb = F.col("a.n"), F.col("b.n")
@@ -81,7 +94,7 @@ def near_duplicates(
     pairs are verified once and the same rule runs on the verified pairs.  Both ways are exact.
     """
     sets = cut_lineage(_rare_first(_word_sets(docs, key, text), threshold))
-    index = cut_lineage(sets.select("id", F.explode("prefix").alias("w")))
+    index = cut_lineage(_bucketed(sets, threshold))
     spark = docs.sparkSession
     decided = spark.createDataFrame([], "id bigint, keeper bigint")
     undecided = sets.select("id")
@@ -117,8 +130,11 @@ def _matches(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _pairs_within(index: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Verified (id, lead) pairs of undecided rows that share a prefix word."""
-    left, right = index.withColumnRenamed("id", "lead"), index
-    tried = left.join(right, "w").filter(F.col("lead") < F.col("id")).select("id", "lead").distinct()
+    left = index.select("w", F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("size").alias("ls"))
+    close = (F.abs(F.col("n") - F.col("ln")) <= F.greatest("n", "ln") * (1 - threshold)) & (
+        F.least("size", "ls") >= F.greatest("size", "ls") * threshold - 1e-9
+    )
+    tried = left.join(index, "w").filter((F.col("lead") < F.col("id")) & close).select("id", "lead").distinct()
     body = sets.select("id", "n", "size", "words")
     joined = tried.join(body.alias("a"), F.col("a.id") == F.col("lead")).join(body.alias("b"), F.col("b.id") == tried["id"])
     return joined.filter(_similar(threshold)).select(tried["id"].alias("id"), "lead")
