@@ -84,7 +84,7 @@ def words_in(words: Column, members: Iterable[str]) -> Column:
 
 
 def is_junk_line(line: Column, patterns: Iterable[str] = V.JUNK_LINES) -> Column:
-    return matches_any(strip(line), patterns)
+    return let(strip(line), lambda bare: matches_any(bare, patterns))
 
 
 def drop_junk_lines(text: Column) -> Column:
@@ -155,10 +155,10 @@ def keep_structure(text: Column) -> Column:
     """Lines stripped; numbered Hangul headings get blank lines around them."""
 
     def one(line: Column) -> Column:
-        bare = strip(line)
-        return F.when(matches(bare, r"^\d+\.?\s+[가-힣]"), F.concat(F.lit("\n"), bare, F.lit("\n"))).otherwise(bare)
+        heading = matches(line, r"^\d+\.?\s+[가-힣]")
+        return F.when(heading, F.concat(F.lit("\n"), line, F.lit("\n"))).otherwise(line)
 
-    return join(F.transform(lines(text), one))
+    return join(F.transform(F.transform(lines(text), strip), one))
 
 
 def preprocess(text: Column, markdown: bool = False) -> Column:

@@ -180,7 +180,7 @@ def blocks(docs: DataFrame, limit: int = 3000, separator: str = "\n\n", key: str
 WORDS = r"[가-힣]{2,}|[A-Za-z]{3,}|\d+"
 
 
-def refined_paragraphs(text: Column, limit: int = V.SEMANTIC_MAX, separator: str = "\n\n") -> tuple[Column, Column, Column]:
+def refined_paragraphs(text: Column, limit: int = V.SEMANTIC_MAX, separator: str = "\n\n") -> Column:
     """Items and their break flags: whole paragraphs, or the sentences of one that is too long."""
 
     def item(words: Column, first: Column) -> Column:

@@ -90,10 +90,6 @@ def keywords_clean(expr: str, stop: bool = False) -> str:
     return out
 
 
-def _over(column: str, source: str = "documents", key: str = "doc_id", field: str = "text") -> str:
-    return f"SELECT {key}, {column} AS out FROM {source}"
-
-
 def _text_query(name: str, function, expression: str, source: str = "documents", key="doc_id", field="text"):
     """One cleaning function applied to one text column: a single map stage without a shuffle."""
     register(name, f"SELECT {key}, {expression} AS out FROM {source}")(

@@ -369,10 +369,12 @@ KIND = "CASE WHEN starts_with({0}, 'The ') THEN 'summary' WHEN starts_with({0},
     UNION ALL SELECT doc_id, 0, 'other', body FROM s WHERE g = 0 AND body <> '' AND doc_id NOT IN (SELECT doc_id FROM m)""")
 def sections_split(spark, sf):
     """Sections of the documents, with three frequent line starts standing in for the section names."""
+
     def kind(line):
-        return F.expr(KIND.format("x")) if line is None else (
+        return (
             F.when(line.startswith("The "), "summary").when(line.startswith("Of "), "details").when(line.startswith("And "), "references")
         )
+
     return structure.answer_sections(table(spark, sf, "documents"), kind=kind)
 
 
