@@ -67,7 +67,7 @@ def hybrid_fusion(
     left = vector_hits.select(query_key, key, F.col("distance").alias("_v"))
     merged = left.join(last, [query_key, key], "full_outer")
     score = F.round(
-        F.coalesce("_v", F.lit(1.0)) * vector_weight + F.coalesce("_k", F.lit(1.0)) * keyword_weight, 6
+        F.coalesce("_v", F.lit(1.0)) * vector_weight + F.coalesce("_k", F.lit(1.0)) * keyword_weight, 8
     )
     order = Window.partitionBy(query_key).orderBy("score", key)
     ranked = merged.select(query_key, key, score.alias("score")).withColumn("rank", F.row_number().over(order))

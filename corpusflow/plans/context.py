@@ -194,14 +194,14 @@ def overlap(q: str, t: str) -> str:
     return f"CASE WHEN len({q}) = 0 THEN 0.0 ELSE {_OVERLAP.format(q=q, t=t)} END"
 
 
-@register("chunk_order", f"""WITH {RES} SELECT query_id, doc_id, round((score * 0.7 + ({overlap('b.text', 'res.text')}) * 0.3)::DOUBLE, 6) AS combined,
-    round((score * 0.5 + ({overlap('b.text', 'res.text')}) * 0.3 + least(1.0, 10000 / greatest(len(res.text), 1)) * 0.2)::DOUBLE, 6) AS priority FROM res JOIN benchmark b ON item_id = query_id""")
+@register("chunk_order", f"""WITH {RES} SELECT query_id, doc_id, round((score * 0.7 + ({overlap('b.text', 'res.text')}) * 0.3)::DOUBLE, 8) AS combined,
+    round((score * 0.5 + ({overlap('b.text', 'res.text')}) * 0.3 + least(1.0, 10000 / greatest(len(res.text), 1)) * 0.2)::DOUBLE, 8) AS priority FROM res JOIN benchmark b ON item_id = query_id""")
 def chunk_order(spark, sf):
     rows = results(spark, sf).join(passages(spark, sf).select("query_id", F.col("text").alias("question")), "query_id")
     score, question, text = F.col("score"), F.col("question"), F.col("text")
     return rows.select(
-        "query_id", "doc_id", F.round(context.chunk_order(score, question, text), 6).alias("combined"),
-        F.round(context.chunk_priority(score, question, text, F.length(text)), 6).alias("priority"),
+        "query_id", "doc_id", F.round(context.chunk_order(score, question, text), 8).alias("combined"),
+        F.round(context.chunk_priority(score, question, text, F.length(text)), 8).alias("priority"),
     )
 
 

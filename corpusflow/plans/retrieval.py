@@ -106,7 +106,7 @@ HYBRID = f"""{VECTORS}, {PASSAGE_VECTORS}, {nearest('near', 'pvecs', 'vecs', 've
     vhits AS ({threshold('near', V.DISTANCE_THRESHOLD, 'query_id, vec_id AS doc_id, distance')}),
     {TFIDF}, {BM25}, {KEYWORD},
     klast AS (SELECT query_id, doc_id, arg_max(distance, seq) AS kd FROM kw GROUP BY ALL),
-    fused AS (SELECT query_id, doc_id, round(coalesce(v.distance, 1.0) * 0.7 + coalesce(kd, 1.0) * 0.3, 6) AS score
+    fused AS (SELECT query_id, doc_id, round(coalesce(v.distance, 1.0) * 0.7 + coalesce(kd, 1.0) * 0.3, 8) AS score
               FROM vhits v FULL JOIN klast USING (query_id, doc_id)),
     hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM fused)
                WHERE rank <= {K})"""
