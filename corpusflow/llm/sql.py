@@ -37,4 +37,22 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
 FROM sharded
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": SHARDING}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+WINNOWING = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+items AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM items),
+item_windows AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+doc_windows AS (SELECT doc_id, n, i, w[i:i + n - 1] AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths)),
+hits AS (SELECT doc_id, item_id, i, n FROM doc_windows JOIN item_windows USING (n, win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_winnowing": WINNOWING, "op1_sharding": SHARDING}
