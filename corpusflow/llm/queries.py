@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import packing, pii, secrets, sharding, sql, winnow
+from corpusflow.llm import ngram_join, packing, pii, secrets, sharding, sql, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,6 +35,11 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
 
 
+@query
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, folder, "documents"))
+
+
 @query
 def op9_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
