@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import ngram_join, packing, pii, secrets, sharding, sql, winnow
+from corpusflow.llm import lattice_lm, ngram_join, packing, pii, quality_mil, secrets, sharding, sql, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,6 +25,16 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"))
 
 
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_mil.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, folder, "documents"))
+
+
 @query
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
