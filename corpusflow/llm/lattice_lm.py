@@ -19,7 +19,7 @@ from corpusflow.llm.common import remainder, scratch, text_of
 from corpusflow.llm.shingles import BYTE_CODES, STEP, mixed
 from corpusflow.session import cut_lineage
 
-ROUNDS = 3
+ROUNDS = 2  # further ones change the held-out likelihood by less than a hundredth
 HOT = 250_000  # most frequent words, which every task knows; the others are joined
 FLUSH = 1_000_000  # distinct words that a task holds
 END = b""  # the token that ends a text
@@ -226,31 +226,32 @@ def word_scores(words: DataFrame, pieces: list[bytes], scores: np.ndarray) -> Da
     return words.select("word", "n", "trained").mapInArrow(run, "word binary, n bigint, trained bigint, log10p double")
 
 
-def _document_sums(hot: tuple[dict[bytes, int], np.ndarray], total: int) -> Callable:
+def _document_sums(hot: tuple[dict[bytes, int], np.ndarray]) -> Callable:
     """Rows of documents, with sums over their hot tokens (word null), and of the other tokens (word, times)."""
     index, values = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "times"]
         for batch in batches:
-            out: tuple[list, ...] = tuple([] for _ in names)
-            rows, keys, held = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for row, key, body, apart in zip(rows, keys, batch.column(2).cast(pa.binary()), held):
+            sums, rows, words, often = [], [], [], []
+            for row, body in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())):
                 counts = Counter(_tokens(body))
                 counts[END] += 1
                 at, times = [], []
                 for word, n in counts.items():
                     place = index.get(word)
                     if place is None:
-                        for column, value in zip(out, (row, None, None, None, None, None, None, word, n)):
-                            column.append(value)
+                        words.append(word), often.append(n)
                     else:
                         at.append(place), times.append(n)
-                known, base, score = values[at].T @ np.array(times, float) if at else (0.0, 0.0, 0.0)
-                for column, value in zip(out, (row, key, apart, sum(counts.values()), int(known), float(base), float(score), None, None)):
-                    column.append(value)
+                rows.extend([row] * (len(counts) - len(at)))
+                sums.append((sum(counts.values()), *(values[at].T @ np.array(times, float) if at else (0.0, 0.0, 0.0))))
             kinds = [pa.int64(), batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+            totals = np.array(sums).T
+            have = [batch.column(0), batch.column(1), batch.column(3), pa.array(totals[0].astype(np.int64)), pa.array(totals[1].astype(np.int64)), pa.array(totals[2]), pa.array(totals[3])]
+            yield pa.RecordBatch.from_arrays(have + [pa.nulls(len(batch), k) for k in kinds[7:]], names)
+            rest = [pa.array(rows, kinds[0])] + [pa.nulls(len(rows), k) for k in kinds[1:7]] + [pa.array(words, kinds[7]), pa.array(often, kinds[8])]
+            yield pa.RecordBatch.from_arrays(rest, names)
 
     return run
 
@@ -279,7 +280,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
         del top
         fields = f"row bigint, doc_id {dict(docs.dtypes)[key]}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, times bigint"
         numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", "held_out")
-        made = keep(numbered.mapInArrow(_document_sums(hot, total), fields))
+        made = keep(numbered.mapInArrow(_document_sums(hot), fields))
         rare = made.filter(F.col("word").isNotNull()).select("row", "word", "times").join(scored, "word")
         sums = rare.groupBy("row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "log10p")])
         result = made.filter(F.col("word").isNull()).drop("word", "times").join(sums, "row", "left")
