@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import lattice_lm, ngram_join, packing, pii, quality_mil, secrets, sharding, sql, winnow
+from corpusflow.llm import lattice_lm, main_text, ngram_join, packing, pii, quality_mil, secrets, sharding, sql, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,6 +40,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract_pages(table(spark, folder, "pages"))
+
+
 @query
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
