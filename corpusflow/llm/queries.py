@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import lattice_lm, main_text, ngram_join, packing, pii, quality_mil, secrets, sharding, sql, winnow
+from corpusflow.llm import forest, lattice_lm, main_text, ngram_join, packing, pii, quality_mil, secrets, sharding, sql, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,6 +25,11 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"))
 
 
+@query
+def op2_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.nearest(table(spark, folder, "embeddings"))
+
+
 @query
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_mil.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
