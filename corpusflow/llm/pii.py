@@ -176,20 +176,30 @@ def _accepted(all_spans: Column, weights: dict[str, float], threshold: float) ->
     return let(base, lambda b: F.concat(b, added(F.filter(all_spans, lambda c: ~c["base"]), b)))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, spans[, carried columns]): personal data in every whole text, spans (kind, start, end, base) in code points.
+def _slim(spans: Column) -> Column:
+    return F.transform(spans, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
+
+
+def fit(found: DataFrame) -> dict[str, float]:
+    """Weights of the span classifier from a table with a column of candidates.
+
+    What leaves the executors is a table of counts by votes and features, bounded by their categories.
+    """
+    counts = vote_counts(found)
+    return span_classifier(counts, reliabilities(counts))
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9) -> DataFrame:
+    """(doc_id, spans): personal data in every whole text, spans (kind, start, end, base) in code points.
 
     Candidates of all texts are found once and kept; labelers (regex with its check, gazetteer, context) have voted on
-    each. What leaves the executors is a table of counts by votes and features, bounded by their categories, from which
-    the reliabilities and the classifier are fitted. Base spans (those whose check holds) always stay.
+    each. From the counts of votes the labelers' reliabilities and the classifier are fitted. Base spans (those whose check
+    holds) always stay.
 
     A null text counts as empty and has no spans. Repeated rows each keep their row. An empty table gives no rows.
     """
-    found = cut_lineage(docs.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_carry_{c}") for c in carry], candidates(text_of(text)).alias("candidates")))
-    counts = vote_counts(found)
-    weights = span_classifier(counts, reliabilities(counts))
-    slim = F.transform(_accepted(F.col("candidates"), weights, threshold), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
-    return found.select(F.col("_key").alias("doc_id"), *[F.col(f"_carry_{c}").alias(c) for c in carry], slim.alias("spans"))
+    found = cut_lineage(docs.select(F.col(key).alias("doc_id"), candidates(text_of(text)).alias("candidates")))
+    return found.select("doc_id", _slim(_accepted(F.col("candidates"), fit(found), threshold)).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -210,11 +220,15 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9) -> DataFrame:
-    """The rows with the personal data in their texts replaced; columns stay, a null text stays null."""
-    others = tuple(c for c in docs.columns if c != key)
-    found = find(docs, key, text, threshold, others)
-    return found.select(*[F.col("doc_id").alias(key) if c == key else redacted(F.col(c), F.col("spans")).alias(c) if c == text else F.col(c) for c in docs.columns])
+def redact(docs: DataFrame, text: str = "text", threshold: float = 0.9) -> DataFrame:
+    """The rows with the personal data in their texts replaced; columns stay, a null text stays null.
+
+    The texts are read twice, once to fit the classifier and once to replace, so that no text is stored in between.
+    """
+    weights = fit(docs.select(candidates(text_of(text)).alias("candidates")))
+    body = F.col(text)
+    replaced = let(candidates(text_of(text)), lambda found: let(_accepted(found, weights, threshold), lambda spans: redacted(body, spans)))
+    return docs.withColumn(text, F.when(body.isNotNull(), replaced))
 
 
 def digest(found: DataFrame) -> DataFrame:

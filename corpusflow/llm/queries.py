@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from corpusflow.llm import forest, lattice_lm, main_text, ngram_join, packing, pii, quality_mil, secrets, sharding, sql, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, folder, "documents")))
 
 
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -78,9 +78,13 @@ def text_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
         low = high
 
 
-def set_keys(values: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set."""
+def set_key(values: np.ndarray) -> int:
+    """A 64-bit hash of a set of hashes."""
     with np.errstate(over="ignore"):
-        a = mixed(np.array([values.sum(dtype=np.uint64) ^ np.uint64(len(values))], np.uint64))[0]
-        b = np.bitwise_xor.reduce(mixed(values + STEP)) if len(values) else np.uint64(0)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+        return int(mixed(np.array([values.sum(dtype=np.uint64) ^ np.uint64(len(values))], np.uint64)).view(np.int64)[0])
+
+
+def set_check(values: np.ndarray) -> int:
+    """Another 64-bit hash, to tell sets of equal keys apart."""
+    with np.errstate(over="ignore"):
+        return int(np.bitwise_xor.reduce((values + STEP) * (values | np.uint64(1))).view(np.int64)) if len(values) else 0
