@@ -1,4 +1,5 @@
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -50,11 +51,16 @@ def test_golden(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     path = str(tmp_path / "store")
-    df = spark.createDataFrame([("a_0000", "x"), ("a_0001", "y")], "chunk_id string, text string")
-    assert store.count_chunks(spark, path) == 0
-    store.append_chunks(df, path)
-    store.append_chunks(df.unionByName(spark.createDataFrame([("b_0000", "z")], df.schema)), path)
+    make = lambda rows: spark.createDataFrame(rows, "file_id string, version int, chunk_id string")
+    assert store.count_chunks(spark, path) == 0 and store.versions(spark, path) is None
+    first = make([("a", 1, "a_0"), ("a", 1, "a_1"), ("b", 1, "b_0")])
+    store.write_chunks(first, path, "w1")
+    store.write_chunks(first, path, "w1")
+    assert store.count_chunks(spark, path) == 3
+    store.write_chunks(first, path, "w2")
     assert store.count_chunks(spark, path) == 3
+    store.write_chunks(make([("a", 2, "a_0")]), path, "w3")
+    assert sorted((r["file_id"], r["version"]) for r in store.read_store(spark, path).collect()) == [("a", 2), ("b", 1)]
     store.clear_store(spark, path)
     assert store.count_chunks(spark, path) == 0
 
@@ -71,8 +77,33 @@ def test_ingest_is_incremental(spark, tmp_path):
     assert first > 0 and run() == first
     (tmp_path / "in" / "new.txt").write_text(BODY + "새 문서이다. " * 30, encoding="utf-8")
     assert run() > first
-    rows = spark.read.parquet(report).orderBy("batch_id").collect()
-    assert rows[0]["files"] == 4 and rows[0]["failed"] == 1 and rows[-1]["total_chunks"] > first
+    rows = [r.asDict() for r in spark.read.parquet(report).collect()]
+    assert sum(r["files"] for r in rows) == 5 and sum(r["failed"] for r in rows) == 1
+    assert all(r["files"] == r["refused"] + r["failed"] + r["too_short"] + r["ingested"] for r in rows)
+    assert sum(r["new_chunks"] for r in rows) == store.count_chunks(spark, out)
+
+
+def test_files_of_one_name_and_changed_files(spark, tmp_path):
+    for name, word in (("a", "첫째"), ("b", "둘째")):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "x.txt").write_text(f"{word} 문서이다. " * 60, encoding="utf-8")
+    (tmp_path / "in" / "short.txt").write_text("짧다.", encoding="utf-8")
+    root, out, report = (str(tmp_path / n) for n in ("in", "store", "report"))
+
+    def texts():
+        return " ".join(r["text"] for r in store.read_store(spark, out).collect())
+
+    ingest.ingest_changed(spark, root, out, report, "w1")
+    assert "첫째" in texts() and "둘째" in texts()
+    ingest.ingest_changed(spark, root, out, report, "w2")
+    later = tmp_path / "in" / "a" / "x.txt"
+    later.write_text("셋째 문서이다. " * 60, encoding="utf-8")
+    os.utime(later, (2_000_000_000, 2_000_000_000))
+    ingest.ingest_changed(spark, root, out, report, "w3")
+    assert "첫째" not in texts() and "둘째" in texts() and "셋째" in texts()
+    rows = {r["write_id"]: r.asDict() for r in spark.read.parquet(report).collect()}
+    assert (rows["w1"]["files"], rows["w1"]["ingested"], rows["w1"]["too_short"]) == (3, 2, 1)
+    assert (rows["w2"]["ingested"], rows["w3"]["ingested"]) == (0, 1)
 
 
 def test_transcripts_and_markdown(spark, small, tmp_path):
