@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
 from corpusflow.functions import text as T
+from corpusflow.session import cut_lineage
 
 
-def numbered(df: DataFrame, order: str, keys: tuple[str, ...] = (), width: int = 100_000, name: str = "position") -> DataFrame:
-    """Zero-based position of every row by an integer order column, within keys or over the whole table.
+def numbered(df: DataFrame, order: str, keys: tuple[str, ...] = (), name: str = "position") -> DataFrame:
+    """Zero-based position of every row by an order column, within keys or over the whole table.
 
-    The order column is cut into ranges; rows are numbered inside a range and shifted by the counts of the ranges before
-    it.  A key holding a third of all rows is numbered by as many tasks as it has ranges.
+    Rows are range-partitioned by keys and order, numbered inside a range and shifted by the counts of the ranges before
+    it.  The ranges follow the rows, not the values, so sparse ids and a key with a third of all rows are spread evenly.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, *keys, order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_range").count()
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(*keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))

@@ -320,10 +320,16 @@ def test_expansion_of_hangul(column):
 def test_numbering_over_ranges(spark):
     rows = [(k, t) for k, n in (("hot", 500), ("cold", 7)) for t in range(0, n * 3, 3)]
     df = spark.createDataFrame(rows, "k string, t bigint")
-    got = reports.numbered(df, "t", ("k",), width=100).collect()
+    got = reports.numbered(df, "t", ("k",)).collect()
     assert all(r["position"] == r["t"] // 3 for r in got)
 
 
+def test_numbering_of_sparse_ids(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    got = [r["position"] for r in reports.numbered(df, "h").orderBy("h").collect()]
+    assert got == list(range(3000))
+
+
 def test_layout_pages(spark):
     rows = [(1, 0, 1, 0, "header", "머리"), (1, 0, 1, 1, "paragraph", "1쪽 본문"), (1, 0, 2, 2, "table", "| 표 |"), (1, 0, 2, 3, "footer", "꼬리"), (1, 2, 1, 4, "paragraph", "3쪽 본문")]
     df = spark.createDataFrame(rows, "doc_id bigint, batch_start int, page int, seq int, category string, markdown string")
