@@ -30,11 +30,16 @@ def local_session(cores: str = "*", app: str = "corpusflow", shuffle_partitions:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only where none is configured (tests)."""
+    """The shared checkpoint folder of the cluster; a temporary one only where all runs in one process (tests).
+
+    Off local mode a missing folder is an error: a temporary one would lie on the driver's machine alone.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     active = spark.sparkContext._jsc.sc().getCheckpointDir()
     if active.isDefined():
         return active.get()
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = configured or os.path.join(tempfile.gettempdir(), f"spark-{uuid.uuid4().hex}")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -52,10 +57,9 @@ def within(df: DataFrame, rows: int) -> bool:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table; one that reads as fewer tasks than there are cores is spread over all of them.
-
-    Only small tables (a few row groups) are spread; a large one has more splits than cores and is left as scanned.
-    """
+    """A parquet table.  In local mode (tests, benchmark) a text table of one file is spread over the cores."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name not in TEXT_TABLES or not spark.sparkContext.master.startswith("local["):
+        return df
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
