@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow import fixed_values as V
 from corpusflow.functions import text as T
 from corpusflow.operators import dedup
+from corpusflow.operators.lexical import explode_once
 from corpusflow.plans import sql as S
 from corpusflow.plans.registry import register
 from corpusflow.session import table
@@ -179,20 +180,23 @@ _text_query("answer_markdown_repaired", T.repair_answer_markdown, S.strip(S.sub(
 )))
 
 
+def _long_enough(made):
+    """Rows whose text is long enough; the array of one text keeps the filter from computing the text a second time."""
+    return explode_once(made, "o", "out").filter(F.length(T.strip(F.col("out"))) >= 100)
+
+
 @register("preprocessed_documents", f"""
     SELECT doc_id, out FROM (SELECT doc_id, {_structure(_hangul(_basic(_junk('text'))))} AS out FROM documents)
     WHERE len({S.strip('out')}) >= 100""")
 def preprocessed_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.preprocess(F.col("text")).alias("out"))
-    return docs.filter(F.length(T.strip(F.col("out"))) >= 100)
+    return _long_enough(table(spark, sf, "documents").select("doc_id", F.array(T.preprocess(F.col("text"))).alias("o")))
 
 
 @register("preprocessed_markdown", f"""
     SELECT doc_id, out FROM (SELECT doc_id, {_structure(_hangul(_markdown(_junk('text'))))} AS out FROM documents)
     WHERE len({S.strip('out')}) >= 100""")
 def preprocessed_markdown(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.preprocess(F.col("text"), markdown=True).alias("out"))
-    return docs.filter(F.length(T.strip(F.col("out"))) >= 100)
+    return _long_enough(table(spark, sf, "documents").select("doc_id", F.array(T.preprocess(F.col("text"), markdown=True)).alias("o")))
 
 
 _BATCH = f"""

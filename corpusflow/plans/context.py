@@ -11,19 +11,33 @@ from corpusflow.plans import sql as S
 from corpusflow.plans.clean import _KEPT
 from corpusflow.plans.registry import register
 from corpusflow.plans.retrieval import TFIDF, passages
-from corpusflow.session import table
+from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, table, within
+
+
+def with_texts(found, rows):
+    """Results with the columns of their documents.
+
+    Results that a count proves few are sent to the documents, whose texts then never move.  Else the ids alone pick the
+    documents first, so that only texts of results are shuffled.
+    """
+    if within(found, MAX_BROADCAST_ROWS):
+        return rows.join(F.broadcast(found), "doc_id").select(*found.columns, *[c for c in rows.columns if c != "doc_id"])
+    return found.join(rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
 
 
 def results(spark, sf):
-    """TF-IDF results with their text and metadata."""
+    """TF-IDF results with their text and metadata.
+
+    Retrieval runs once: its few rows for each question are kept, and texts are fetched by their ids.
+    """
     docs = table(spark, sf, "documents")
-    found = lexical.tfidf_top_k(docs, passages(spark, sf)).withColumn("score", 1 - F.col("distance"))
+    found = cut_lineage(lexical.tfidf_top_k(docs, passages(spark, sf)).withColumn("score", 1 - F.col("distance")))
     meta = docs.select(
         "doc_id", "text", "source", F.concat("source", F.lit("_"), "lang", F.lit(".txt")).alias("file_name"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit(None).cast("int").alias("page"),
         F.when(F.col("lang") == "en", "pypdf").alias("extraction_method"), F.lit("enhanced_default").alias("processing_method"),
     )
-    return found.join(meta, "doc_id")
+    return with_texts(found, meta)
 
 
 RES = f"""{TFIDF},
@@ -251,10 +265,9 @@ def fitted_summaries(spark, sf):
     return rows.select("doc_id", summary.fitted_sentences(F.col("sentences"), F.col("summary"), 300).alias("fitted"))
 
 
-@register("importance_scores", f"""SELECT doc_id, round((({_IMPORTANCE}) + 0.5 * ({overlap("string_split(text, chr(10))[1]", 'text')}))::DOUBLE, 6) AS importance FROM documents WHERE {S.strip('text')} <> ''""")
+@register("importance_scores", f"""SELECT doc_id, round((({_IMPORTANCE}) + 0.5 * ({overlap("string_split(text, chr(10))[1]", 'text')}))::DOUBLE, 6) AS importance FROM documents""")
 def importance_scores(spark, sf):
-    docs = table(spark, sf, "documents").filter(T.strip(F.col("text")) != "")
-    return docs.select("doc_id", F.round(summary.importance(F.col("text"), F.substring_index("text", "\n", 1)), 6).alias("importance"))
+    return table(spark, sf, "documents").select("doc_id", F.round(summary.importance(F.col("text"), F.substring_index("text", "\n", 1)), 6).alias("importance"))
 
 
 @register("summary_lengths", "SELECT doc_id, CASE WHEN n_chars // 4 <= 0 THEN 500 ELSE greatest(150, least(500, n_chars // 4)) END AS target FROM documents")

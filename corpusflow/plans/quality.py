@@ -13,7 +13,7 @@ from corpusflow.plans.retrieval import TFIDF, passages, threshold
 from corpusflow.plans.structure import MD, page_markdown
 from corpusflow.functions import sentences as L
 from corpusflow.session import table
-from corpusflow.sources import transcripts
+from corpusflow.sources import store, transcripts
 
 
 def _completion(t: str = "text") -> str:
@@ -192,13 +192,23 @@ def file_batches(spark, sf):
     return reports.batches(table(spark, sf, "documents").select("doc_id"))
 
 
-@register("load_status", f"""WITH p AS (SELECT doc_id, n_chars, unnest({S.lines('text')}) AS t FROM documents), k AS (SELECT * FROM p WHERE len(t) > 40)
+@register("load_status", f"""WITH p AS (SELECT doc_id, n_chars, unnest({S.lines('text')}) AS t FROM documents), k AS (SELECT * FROM p)
     SELECT doc_id, n_chars AS original_length, coalesce(sum(len(t)), 0)::BIGINT AS processed_length, count(t) AS document_count, count(t) > 0 AS success,
         CASE WHEN count(t) = 0 THEN '문서를 추출할 수 없습니다' END AS error FROM (SELECT d.doc_id, d.n_chars, k.t FROM documents d LEFT JOIN k USING (doc_id)) GROUP BY ALL""")
 def load_status(spark, sf):
     docs = table(spark, sf, "documents")
-    pieces = F.filter(T.lines(F.col("text")), lambda line: F.length(line) > 40)
-    return reports.load_status(docs.select("doc_id", F.col("n_chars").alias("original_length"), F.explode_outer(pieces).alias("text")))
+    return reports.load_status(docs.select("doc_id", F.col("n_chars").alias("original_length"), F.explode_outer(T.lines(F.col("text"))).alias("text")))
+
+
+# the first write holds every document, the second one the documents with an even id in a newer version
+@register("store_upserted", """SELECT doc_id::VARCHAR AS file_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version,
+    CASE WHEN doc_id % 2 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents""")
+def store_upserted(spark, sf):
+    """Current rows of a store in which a later write has replaced some of the files."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file_id"), "n_chars")
+    first = docs.select("file_id", F.lit(1).alias("version"), "n_chars", F.lit("w1").alias(store.WRITE))
+    second = docs.filter(F.col("doc_id") % 2 == 0).select("file_id", F.lit(2).alias("version"), (F.col("n_chars") + 1).alias("n_chars"), F.lit("w2").alias(store.WRITE))
+    return store.latest(first.unionByName(second)).drop(store.WRITE)
 
 
 @register("documents_concatenated", f"SELECT doc_id, {S.join(S.lines('text'), chr(10) * 2)} AS out FROM documents")

@@ -238,29 +238,36 @@ def pages_joined(spark, sf):
 # lines of a document as layout elements; the category follows from the line itself
 CATEGORY = "CASE WHEN length(line) < 30 THEN 'header' WHEN contains(line, '|') THEN 'table' WHEN contains(line, '@') THEN 'footer' ELSE 'paragraph' END"
 
+# for what does not drop headers and footers: every line stays
+KEPT_CATEGORY = "CASE WHEN contains(line, '|') THEN 'table' ELSE 'paragraph' END"
 
-def layout_elements(spark, sf):
+
+def layout_elements(spark, sf, category=CATEGORY):
     rows = structure.line_rows(table(spark, sf, "documents"))
     return rows.select(
         "doc_id", F.col("line_no").alias("seq"), (F.floor(F.col("line_no") / 20) * 2).cast("int").alias("batch_start"),
-        (F.floor(F.col("line_no") / 10) % 2 + 1).cast("int").alias("page"), F.expr(CATEGORY).alias("category"),
+        (F.floor(F.col("line_no") / 10) % 2 + 1).cast("int").alias("page"), F.expr(category).alias("category"),
         F.col("line").alias("markdown"),
     )
 
 
-LAYOUT = f"""{LINES},
-    lay AS (SELECT doc_id, line_no AS seq, ((line_no // 20) * 2 + (line_no // 10) % 2 + 1)::INT AS page, line AS markdown, {CATEGORY} AS category FROM lr),
+def _layout(category: str) -> str:
+    return f"""{LINES},
+    lay AS (SELECT doc_id, line_no AS seq, ((line_no // 20) * 2 + (line_no // 10) % 2 + 1)::INT AS page, line AS markdown, {category} AS category FROM lr),
     pg AS (SELECT doc_id, page, string_agg(markdown, chr(10)||chr(10) ORDER BY seq) AS text FROM lay
            WHERE category NOT IN ('header', 'footer') GROUP BY ALL)"""
 
 
-def layout_pages(spark, sf):
-    return structure.assemble_pages(layout_elements(spark, sf))
+LAYOUT = _layout(KEPT_CATEGORY)
+
+
+def layout_pages(spark, sf, category=KEPT_CATEGORY):
+    return structure.assemble_pages(layout_elements(spark, sf, category))
 
 
-@register("layout_pages", f"WITH {LAYOUT} SELECT doc_id, page, text FROM pg")
+@register("layout_pages", f"WITH {_layout(CATEGORY)} SELECT doc_id, page, text FROM pg")
 def layout_pages_query(spark, sf):
-    return layout_pages(spark, sf)
+    return layout_pages(spark, sf, CATEGORY)
 
 
 @register("pages_marked", f"""WITH {LAYOUT} SELECT doc_id, string_agg('[페이지 ' || page || ']' || chr(10) || text, chr(10)||chr(10) ORDER BY page) AS out
@@ -277,7 +284,7 @@ def text_layer(spark, sf):
 
 # every line with a noise mark is an image of its page: name from its place, size and relevance from its length
 def image_rows(spark, sf):
-    rows = layout_elements(spark, sf).filter(F.col("markdown").contains("#") | F.col("markdown").contains("|"))
+    rows = layout_elements(spark, sf, KEPT_CATEGORY).filter(F.col("markdown").contains("#") | F.col("markdown").contains("|"))
     page = (F.col("batch_start") + F.col("page")).cast("int")
     name = F.format_string("doc%d_page%d_img%d.png", "doc_id", page, "seq")
     size = F.length("markdown")
