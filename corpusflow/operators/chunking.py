@@ -265,16 +265,26 @@ def topic_boundaries(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def merge_keywords(entries: Column) -> Column:
-    """Scores summed per term, best first; ties keep the order of first occurrence."""
-    terms = F.array_distinct(F.transform(entries, lambda e: e["term"]))
-    rows = F.transform(
-        terms,
-        lambda t, i: F.struct(
-            (-F.aggregate(F.filter(entries, lambda e: e["term"] == t), F.lit(0.0), lambda a, e: a + e["score"])).alias("s"),
-            i.alias("at"), t.alias("term"),
-        ),
-    )
-    return F.transform(F.sort_array(rows), lambda r: F.struct((-r["s"]).alias("score"), r["term"].alias("term")))
+    """Scores summed per term, best first; ties keep the order of first occurrence.
+
+    Entries are sorted by term and place; every run of a term is summed once, so the cost follows the number of entries.
+    """
+
+    def summed(rows: Column) -> Column:
+        count = F.size(rows)
+        first = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (i == 0) | (F.get(rows, i)["term"] != F.get(rows, i - 1)["term"]))
+
+        def runs(starts: Column) -> Column:
+            return F.transform(starts, lambda low, j: F.struct(
+                (-F.aggregate(F.slice(rows, low + 1, F.coalesce(F.get(starts, j + 1), count) - low), F.lit(0.0), lambda a, e: a + e["score"])).alias("s"),
+                F.get(rows, low)["at"].alias("at"), F.get(rows, low)["term"].alias("term"),
+            ))
+
+        return F.transform(F.sort_array(T.let(first, runs)), lambda r: F.struct((-r["s"]).alias("score"), r["term"].alias("term")))
+
+    ordered = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["term"].alias("term"), i.alias("at"), e["score"].alias("score"))))
+    none = F.array().cast("array<struct<score:double,term:string>>")
+    return T.let(ordered, lambda rows: F.when(F.size(rows) > 0, summed(rows)).otherwise(none))
 
 
 def semantic_chunks(

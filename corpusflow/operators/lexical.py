@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,24 +69,32 @@ def features(docs: DataFrame, terms: Column, key: str = "doc_id", max_features:
 
 
 def term_weights(docs: DataFrame, terms: Column, feats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, terms, weights): L2-normalised TF-IDF vectors with term ids of the feature table.
+    """(key, terms, weights): L2-normalised TF-IDF vectors with term ids of the feature table; rows without any are left out.
 
-    The feature table has at most max_features rows, so it is broadcast; the one shuffle is by key, over weights that
-    the map side has already gathered per document.
+    A document's histogram is weighted in its own row: the feature table has at most max_features rows, so every task
+    looks terms up in it, a whole Arrow batch at a time, and no posting leaves its document.
     """
-    raw = (
-        postings(docs, terms, key)
-        .join(F.broadcast(feats), "term")
-        .select(key, "term_id", (F.col("tf") * F.col("idf")).alias("w"))
-    )
-    vectors = raw.groupBy(key).agg(
-        F.collect_list(F.struct("term_id", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    return vectors.select(
-        key,
-        F.col("v.term_id").alias("terms"),
-        F.transform("v.w", lambda w: w / F.col("norm")).alias("weights"),
-    )
+    known = feats.select("term", "term_id", "idf").toPandas()
+    values, ids, idf = pa.array(known["term"], pa.string()), known["term_id"].to_numpy(np.int32), known["idf"].to_numpy(np.float64)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, counts = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy()
+            at = pc.index_in(flat.field("item"), values)
+            held = at.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), counts)[held]
+            place = at.drop_null().to_numpy()
+            raw = flat.field("n").to_numpy()[held] * idf[place]
+            norm = np.sqrt(np.bincount(row, raw * raw, minlength=len(batch)))
+            sizes = np.bincount(row, minlength=len(batch))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            made = [pa.ListArray.from_arrays(offsets, pa.array(column)) for column in (ids[place], raw / norm[row])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], [key, "terms", "weights"]).filter(pa.array(sizes > 0))
+
+    kind = dict(docs.dtypes)[key]
+    histograms = docs.select(key, T.run_lengths(terms).alias("h"))
+    return histograms.mapInArrow(weigh, f"{key} {kind}, terms array<int>, weights array<double>")
 
 
 def numbered(feats: DataFrame) -> DataFrame:
