@@ -275,8 +275,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
         scored = word_scores(counted, pieces, estimate(counted, pieces, first, rounds))
         base = F.log10((F.col("trained") + 1) / F.lit(float(total + distinct + 1)))
         scored = keep(scored.select("word", "n", (F.col("trained") > 0).cast("double").alias("known"), base.alias("base"), "log10p"))
-        top = scored.orderBy(F.desc("n"), "word").limit(HOT).toPandas()
-        hot = ({bytes(w): i for i, w in enumerate(top["word"])}, top[["known", "base", "log10p"]].to_numpy(np.float64))
+        top = scored.orderBy(F.desc("n"), "word").limit(HOT).toArrow()
+        hot = ({w.as_py(): i for i, w in enumerate(top["word"])}, np.stack([top[c].to_numpy() for c in ("known", "base", "log10p")], axis=1))
         del top
         fields = f"row bigint, doc_id {dict(docs.dtypes)[key]}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, times bigint"
         numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", "held_out")
