@@ -10,7 +10,7 @@ import time
 HEADLINE = (
     "preprocessed_documents", "text_statistics_by_language", "exact_duplicates_dropped", "markdown_paragraphs", "default_chunks",
     "semantic_chunks", "retrieval_ranked", "bm25_ranked", "vector_ranked", "mmr_ranked", "document_summaries", "quality_report",
-    "expanded_queries", "answers_merged_by_sentence", "fresh_events_by_type",
+    "expanded_queries", "answers_merged_by_sentence", "fresh_events_by_type", "near_duplicate_keepers",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
@@ -20,6 +20,23 @@ def literal_dictionary(entries: Mapping[str, Iterable[str]]) -> Column:
     return F.array(*rows)
 
 
+MAX_ENTRIES = 5000
+
+
+def load_dictionary(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """A dictionary from JSON lines with `key` and `terms`, in the order of the keys' first lines.
+
+    It becomes literals of the plan, so its size is checked; a larger one has to be joined.
+    """
+    rows = spark.read.schema("key string, terms array<string>").json(path).limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"the dictionary has more than {MAX_ENTRIES} entries")
+    entries: dict[str, tuple[str, ...]] = {}
+    for row in rows:
+        entries[row["key"]] = entries.get(row["key"], ()) + tuple(row["terms"] or ())
+    return entries
+
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 

@@ -340,3 +340,12 @@ def test_sections(spark):
     df = spark.createDataFrame([(1, "머리말\n### 핵심 요약\n하나\n## 상세 설명:\n둘"), (2, "제목 없음")], "doc_id bigint, text string")
     got = sorted((r["doc_id"], r["section_no"], r["kind"], r["body"]) for r in structure.answer_sections(df).collect())
     assert got[0] == (1, 0, "summary", "머리말\n\n하나") and got[-1] == (2, 0, "other", "제목 없음")
+
+
+def test_dictionary_from_a_file(spark, tmp_path):
+    path = tmp_path / "terms.json"
+    path.write_text('{"key": "a", "terms": ["b", "c"]}\n{"key": "d", "terms": ["e"]}\n{"key": "a", "terms": ["f"]}\n', encoding="utf-8")
+    entries = expansion.load_dictionary(spark, str(path))
+    assert entries == {"a": ("b", "c", "f"), "d": ("e",)}
+    df = spark.createDataFrame([(["d"],)], "k array<string>")
+    assert df.select(expansion.synonyms(F.col("k"), entries).alias("s")).first()["s"] == ["e"]
