@@ -47,8 +47,8 @@ MODEL_BOX_TOKEN = r"<\|(?:begin|end)_?of_?box\|>"
 JUNK_LINES = (
     r"[·.…•∙]{5,}\s*\d*\s*$",
     r"^[\d\s.,%~\-]+$",
-    r"(?i)^(?:이미지|이メージ)(?:\s+\d+\s+\(페이지\s*\d+\))?(?:\s.*\.(?:png|jpe?g|gif|webp)\)?)?$",
-    r"(?i)페이지\s*\d+의 이미지\s+\S+\.(?:png|jpe?g|gif|webp)$",
+    r"(?i)^(이미지|이メージ)(\s+\d+\s+\(페이지\s*\d+\))?(\s.*\.(png|jpe?g|gif|webp)\)?)?$",
+    r"(?i)페이지\s*\d+의 이미지\s+\S+\.(png|jpe?g|gif|webp)$",
 )
 COLOPHON = r"ISBN\s*[\d\-]{10,}"
 ARTIFACT_PATTERNS = (
@@ -96,7 +96,7 @@ HANGUL_PUNCTUATION = {
 HEADING_STOP_ENDINGS = (".", "다", "음", "었다", "였다", "한다", "된다", "이다", "않다")
 HEADING_PATTERNS = (
     r"^제\s*\d+\s*장", r"^제\s*\d+\s*절", r"^\d+\.\s*[가-힣]", r"^[가-힣]\.\s*[가-힣]", r"^\([가-힣]\)",
-    r"^\d+\)\s*[가-힣]", r"^[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+\.", r"^【[^】]+】", r"^[◎○●■□]",
+    r"^\d+\)\s*[가-힣]", r"^[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+\.", r"^【[^】]+】", r"^◎|^○|^●|^■|^□",
 )
 HEADING_KEYWORDS = (
     "서론", "결론", "요약", "개요", "배경", "목적", "방법", "결과", "고찰", "참고문헌", "조사", "발굴", "유적", "유물",
@@ -156,15 +156,15 @@ PARTICLES = (
     "께", "으로서", "으로써", "처럼", "같이", "보다", "만큼", "마다", "조차", "까지도", "밖에", "만", "든지", "거나",
     "든가", "던지",
 )
-THREE_CHAR_NOUN_ENDINGS = ("조사연관분해석토기유물구조시설", "건축발굴수리보수개선공사작업", "계획방법과정절차단계순서")
+THREE_CHAR_NOUNS = (r".*[조사연관분해석토기유물구조시설]$", r".*[건축발굴수리보수개선공사작업]$", r".*[계획방법과정절차단계순서]$")
 CONNECTIVE_ENDINGS = (",", "하여", "하며", "이며", "되며", "되어", "이고", "되고", "로서", "로써")
 LOOSE_JAMO = ("ㄴ", "ㄹ", "ㅁ", "ㅂ", "ㄷ", "ㅅ", "ㅇ", "ㅈ", "ㅊ", "ㅋ", "ㅌ", "ㅍ", "ㅎ")
 SENTENCE_STARTERS = (
     "그러나", "하지만", "따라서", "그런데", "또한", "그리고", "한편", "첫째", "둘째", "셋째", "다음", "마지막으로",
     "그 결과", "이에 따라", "결론적으로",
 )
-STRUCTURE_LINE = r"^(?:#|\||\[페이지 \d+\]|--- 페이지 \d+ ---|[<\[](?:표|그림)|[-*•·]\s)"
-NO_JOIN_BEFORE = (r"^\d+[.)]\s", r"^[가-힣][.)]\s", r"^제\s*\d+\s*[장절편부]", r"^[A-Z][a-z]")
+STRUCTURE_LINE = r"^(#|\||\[페이지 \d+\]|--- 페이지 \d+ ---|[<\[](표|그림)|[-*•·]\s)"
+NO_JOIN_BEFORE = (r"^\d+[\.\)]\s", r"^[가-힣][\.\)]\s", r"^제\s*\d+\s*[장절편부]", r"^[A-Z][a-z]")
 SENTENCE_END = r"[.!?](?:\s|$)"
 MAX_CARRIED_LINES = 3
 MIN_PROSE_LINE = 20

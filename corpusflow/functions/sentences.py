@@ -18,7 +18,7 @@ INCOMPLETE = "|".join(
         literal_class(dict.fromkeys(V.PROBLEM_ENDINGS + V.PARTICLES + V.CONNECTIVE_ENDINGS + V.LOOSE_JAMO)) + "$",
         r"[0-9A-Za-z]$",
         r"(?:^|\s)[가-힣]{1,2}$",
-        *(rf"(?:^|\s)[가-힣]{{2}}[{chars}]$" for chars in V.THREE_CHAR_NOUN_ENDINGS),
+        *(r"(?:^|\s)[가-힣]{2}" + pattern.removeprefix(".*") for pattern in V.THREE_CHAR_NOUNS),  # the last word of three
     )
 )
 SIMPLE = "|".join((*V.SIMPLE_INCOMPLETE, literal_class(V.SIMPLE_PARTICLES) + "$"))

@@ -177,7 +177,7 @@ def clean_patterns(text: Column, preserve_structure: bool = True) -> Column:
         *spaces,
         (r"\b\d+\s*페이지\b|\bPage\s*\d+\b", "", "ib"),
         (r"\[\d+\]|\(\d+\)", "", ""),
-        (r"(?:[.,!?;:])+([.,!?;:])", "$1", ""),
+        (r"([.,!?;:]){2,}", "$1", ""),
     ]
 
     def cleaned(raw: Column) -> Column:

@@ -64,7 +64,7 @@ def _patterns(expr: str, preserve: bool = True) -> str:
         rules += [(r"[ \t]+$", "", "m"), (r"\n{3,}", "\n\n")]
     else:
         rules += [(r"\s{2,}", " "), (r"\n{3,}", "\n\n"), (r"[ \t]+$", "", "m")]
-    rules += [(r"\b\d+\s*페이지\b|\bPage\s*\d+\b", "", "i"), (r"\[\d+\]|\(\d+\)",), (r"(?:[.,!?;:])+([.,!?;:])", "$1")]
+    rules += [(r"\b\d+\s*페이지\b|\bPage\s*\d+\b", "", "i"), (r"\[\d+\]|\(\d+\)",), (r"([.,!?;:]){2,}", "$1")]
     out = S.strip(S.chain(expr, *rules))
     return f"CASE WHEN {S.strip(expr)} = '' THEN '' WHEN {out} = '' THEN {S.strip(expr)} ELSE {out} END"
 
