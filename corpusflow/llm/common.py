@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect plans that are no longer held: Spark's cleaner then removes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Yields keep(df): df written as Parquet in the shared checkpoint folder and read back; all is removed at the end.
@@ -47,6 +54,7 @@ def scratch(spark: SparkSession):
         count += 1
         path = f"{root}/{count}"
         df.write.parquet(path)
+        release(spark)
         return spark.read.schema(df.schema).parquet(path)
 
     try:

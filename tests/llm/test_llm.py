@@ -331,7 +331,7 @@ def variants(seed, base, n):
 @pytest.mark.parametrize("budget", [2, 0])
 def test_near_copies(spark, monkeypatch, budget):
     rows = [r for r in ROWS if r[0] is not None]
-    texts = variants(1, phrase(120, 7), 40) + variants(2, phrase(60, 8), 25) + [phrase(50, 9) + " " + phrase(20, 100 + i) for i in range(25)] + [phrase(3, 11)] * 5 + variants(3, phrase(7, 12), 12)
+    texts = variants(1, phrase(120, 7), 24) + variants(2, phrase(60, 8), 14) + [phrase(50, 9) + " " + phrase(20, 100 + i) for i in range(8)] + [phrase(3, 11)] * 5 + variants(3, phrase(7, 12), 6)
     rows += [(100 + i, t) for i, t in enumerate(texts)]
     defaults = ngram_join.linked_sets.__defaults__
     monkeypatch.setattr(ngram_join.linked_sets, "__defaults__", (*defaults[:-1], budget))
