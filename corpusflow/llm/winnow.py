@@ -100,21 +100,21 @@ def contamination(
 
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("body_hash") == F.col("hit_hash"))
     hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("body_hash").alias("hit_hash"))
-    found = rows.join(hit, same, "left_semi").select("doc_id", "body_hash", F.explode(let(words(F.col("body")), both)).alias("l"))
+    found = rows.join(_small(hit), same, "left_semi").select("doc_id", "body_hash", F.explode(let(words(F.col("body")), both)).alias("l"))
     found = found.select("doc_id", "body_hash", "l.length", F.explode("l.at").alias("a")).select("doc_id", "body_hash", "length", "a.*")
     item_windows = items.select("item_id", F.explode(let(F.col("w"), both)).alias("l"), F.col("length").alias("own")).filter(F.col("l.length") == F.col("own"))
     item_windows = item_windows.select("item_id", "l.length", F.explode("l.at.window").alias("window")).distinct()
     hits = found.join(_small(item_windows), ["length", "window"])
-    return hits.groupBy("doc_id", "body_hash").agg(
+    return cut_lineage(hits.groupBy("doc_id", "body_hash").agg(
         _covered(F.collect_set(F.struct("start", "length"))).cast("long").alias("n_hit"),
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-    )
+    ))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document; repeated rows stay."""
     key, text = options.get("key", "doc_id"), options.get("text", "text")
-    hits = contamination(docs, benchmark, **options).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("body_hash", "hit_hash")
+    hits = _small(contamination(docs, benchmark, **options).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("body_hash", "hit_hash"))
     rows = _keyed(docs, key, text).select("doc_id", "body_hash", F.regexp_count("body", F.lit(WORD)).cast("long").alias("n_words"))
     joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("body_hash") == F.col("hit_hash")), "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
@@ -128,4 +128,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """The documents in which no window of an item occurs, with all their columns."""
     key, text = options.get("key", "doc_id"), options.get("text", "text")
     hits = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_hit_id"), F.col("body_hash").alias("_hit_hash"))
-    return docs.join(hits, docs[key].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_hit_hash")), "left_anti")
+    return docs.join(_small(hits), docs[key].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_hit_hash")), "left_anti")
