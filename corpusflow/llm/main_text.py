@@ -41,27 +41,38 @@ SAMPLE_PAGES = 2000  # bound of the labelled pages that the weights come from
 Token = tuple[str, str, bool, bool]  # kind (text, open, close), name or text, in boilerplate, in the labelled region
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment by its name or its own words."""
+NOT, PART, NAMED, SURE = range(4)  # boilerplate: no; by a later word of a class or id ("has-sidebar"); by a first word ("sidebar"); by anything else
+
+
+def _boilerplate(name: str, attributes: str) -> int:
+    """How surely an element is a menu, header, footer, sidebar, notice, advert, form or comment by its name or its own words."""
     if name in BOILERPLATE:
-        return True
+        return SURE
     if name in ("html", "body", *MAIN) or not attributes.strip():
-        return False
+        return NOT
+    found = NOT
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return SURE
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and any(word in NAMES for word in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return SURE
+        if key in ("class", "id") and found < NAMED:
+            for own in value.split():
+                words = re.findall(r"[a-z]+", own)
+                found = max(found, NAMED if words[:1] and words[0] in NAMES else PART if any(word in NAMES for word in words) else NOT)
+    return found
 
 
 def tokens(page: str) -> Iterator[Token]:
-    """The page's tokens in order. Scripts, styles and other raw elements are none; comments are left out."""
-    stack: list[tuple[str, bool]] = []  # open elements, whether each begins boilerplate
-    boilerplate = depth = at = 0
+    """The page's tokens in order. Scripts, styles and other raw elements are none; comments are left out.
+
+    Boilerplate by a class or id word ends at an element of MAIN inside: that word names a wrapper of the content. It does
+    not end where marked text came before an element whose class or id begins with such a word: cards and comments follow.
+    """
+    stack: list[tuple[str, int, bool]] = []  # open elements, what each adds to boilerplate, whether that holds in MAIN
+    boilerplate = firm = depth = at = 0
+    met = False  # marked text
     low = None
     while at < len(page):
         found = TOKEN.match(page, at)
@@ -69,14 +80,15 @@ def tokens(page: str) -> Iterator[Token]:
         name = found[2]
         if name is None:
             if not found[0].startswith(("<!", "<?")):
+                met = met or (depth > 0 and not boilerplate and not found[0].isspace())
                 yield "text", found[0], boilerplate > 0, depth > 0
             continue
         name = name.lower()
         if found[1]:
-            if any(open_name == name for open_name, _ in stack):
+            if any(element[0] == name for element in stack):
                 while stack:
-                    last, bad = stack.pop()
-                    boilerplate -= bad
+                    last, bad, holds = stack.pop()
+                    boilerplate, firm = boilerplate - bad, firm - holds
                     depth -= last in MAIN
                     if last == name:
                         break
@@ -86,16 +98,19 @@ def tokens(page: str) -> Iterator[Token]:
             low = low or page.lower()
             end = low.find(f"</{name}", at)
             at = len(page) if end < 0 else end
-            stack.append((name, True))
-            boilerplate += 1
+            stack.append((name, 1, True))
+            boilerplate, firm = boilerplate + 1, firm + 1
             continue
         while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-            boilerplate -= stack.pop()[1]
+            _, bad, holds = stack.pop()
+            boilerplate, firm = boilerplate - bad, firm - holds
         inside = depth > 0
         if name not in VOID and not found[3].endswith("/"):
-            bad = _is_boilerplate(name, found[3])
-            stack.append((name, bad))
-            boilerplate += bad
+            sure = _boilerplate(name, found[3])
+            holds = sure == SURE or (sure == NAMED and met)
+            bad = -boilerplate if name in MAIN and not firm else int(sure > NOT)
+            stack.append((name, bad, holds))
+            boilerplate, firm = boilerplate + bad, firm + holds
             depth += name in MAIN
         yield "open", name, boilerplate > 0, inside
 

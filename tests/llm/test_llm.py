@@ -256,6 +256,19 @@ def test_region_is_the_best_run():
         assert math.isclose(sum(value[low:high]), best)
 
 
+WEIGHTS = {"word": 1.0, "": -2.0}
+STORY = "the whole story of the day is told here in many words"
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "site-content no-sidebar", "content-with-comments", "elementor-widget-container"])
+def test_wrapper_of_an_article_is_no_boilerplate(names):
+    cards = "<div id='comments' class='comments-area'><article><p>Nice post</p></article></div>"
+    page = f"<body><nav>Home</nav><div class='{names}'><article><p>{STORY}</p><div class='ad'>Buy now</div></article>{cards}</div>{cards}</body>"
+    assert main_text.extract(page, WEIGHTS) == STORY
+    assert main_text.extract(f"<main><p>{STORY}</p>{cards}</main>", WEIGHTS) == STORY
+    assert main_text.extract(f"<aside class='{names}'><article><p>{STORY}</p></article></aside>", WEIGHTS) == ""
+
+
 # --- 7 personal data, 10 secrets
 
 
