@@ -182,13 +182,14 @@ def read(page: list[Token], low: int, high: int) -> str:
 
 
 def widened(page: list[Token], low: int, high: int) -> tuple[int, int]:
-    """A region that lies in marked content grows to all of it: the run of tokens around it that the page itself marks."""
-    if low < high and any(t[3] for t in page[low:high]):
-        marked = [i for i in range(low, high) if page[i][3]]
-        low, high = marked[0], marked[-1] + 1
-        while low and page[low - 1][3]:
+    """A region that begins or ends in marked content grows to all of it: the tokens around it that the page itself marks.
+
+    It never shrinks: a headline before an article, or a body before cards that are articles, stays.
+    """
+    if low < high:
+        while low and page[low][3] and page[low - 1][3]:
             low -= 1
-        while high < len(page) and page[high][3]:
+        while high < len(page) and page[high - 1][3] and page[high][3]:
             high += 1
     return low, high
 

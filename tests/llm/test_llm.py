@@ -269,6 +269,14 @@ def test_wrapper_of_an_article_is_no_boilerplate(names):
     assert main_text.extract(f"<aside class='{names}'><article><p>{STORY}</p></article></aside>", WEIGHTS) == ""
 
 
+def test_marked_content_only_widens_the_region():
+    light = {"word": 1.0, "": -0.5}
+    cards = "<article>one teaser card with words</article><article>another teaser card with words</article>"
+    text = main_text.extract(f"<div><p>{STORY}</p></div><div>{cards}</div>", light)
+    assert text.split("\n") == [STORY, "one teaser card with words", "another teaser card with words"]
+    assert main_text.extract(f"<h1>A headline of several words</h1><article><p>{STORY}</p><ul><li>a</li></ul></article>", light) == f"A headline of several words\n{STORY}\na"
+
+
 # --- 7 personal data, 10 secrets
 
 
