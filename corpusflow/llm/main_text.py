@@ -35,6 +35,7 @@ MAIN = ("article", "main")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in RAW}  # on the page itself: lower() moves what follows some letters
 SPACE = re.compile(r"\s+")
 SAMPLE_PAGES = 2000  # bound of the labelled pages that the weights come from
 
@@ -73,7 +74,6 @@ def tokens(page: str) -> Iterator[Token]:
     stack: list[tuple[str, int, bool]] = []  # open elements, what each adds to boilerplate, whether that holds in MAIN
     boilerplate = firm = depth = at = 0
     met = False  # marked text
-    low = None
     while at < len(page):
         found = TOKEN.match(page, at)
         at = found.end()
@@ -95,9 +95,8 @@ def tokens(page: str) -> Iterator[Token]:
             yield "close", name, boilerplate > 0, depth > 0
             continue
         if name in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            end = RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
             stack.append((name, 1, True))
             boilerplate, firm = boilerplate + 1, firm + 1
             continue

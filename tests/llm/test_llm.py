@@ -277,6 +277,11 @@ def test_marked_content_only_widens_the_region():
     assert main_text.extract(f"<h1>A headline of several words</h1><article><p>{STORY}</p><ul><li>a</li></ul></article>", light) == f"A headline of several words\n{STORY}\na"
 
 
+@pytest.mark.parametrize("raw", ["<script>x</script>", "<STYLE>p{}</Style >", "<svg><path/></svg>", "<script>'</scripts>'</script>"])
+def test_raw_elements_end_after_letters_that_lower_lengthens(raw):
+    assert main_text.extract(f"<article><p>\u0130\u0130\u0130 {STORY}</p>{raw}<p>{STORY}</p></article>", WEIGHTS) == f"\u0130\u0130\u0130 {STORY}\n{STORY}"
+
+
 # --- 7 personal data, 10 secrets
 
 
