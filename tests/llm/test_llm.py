@@ -372,6 +372,15 @@ def test_near_copies_on_bad_rows(messy, empty):
     assert ngram_join.near_copies(empty).count() == 0
 
 
+def test_first_copies_by_row_and_not_by_key(spark):
+    one, two, three, four, five = (phrase(40, 60 + i) for i in range(5))
+    rows = [(None, one), (None, two), (None, two + " end"), (None, None), (None, ""), (None, three), (1, three), (2, four), (2, five), (2, ""), (2, " "), (3, four), (2, four), (2, three)]
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_first(table(spark, rows)).select("doc_id", "text").collect())
+    copies = [(None, two), (None, two + " end")]
+    assert sum(kept.pop(c, 0) for c in copies) == 1
+    assert kept == Counter([(None, one), (None, None), (None, ""), (1, three), (2, four), (2, five), (2, ""), (2, " ")])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (102, 100), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
