@@ -334,6 +334,16 @@ def test_weak_parts_need_their_complement(spark):
     assert found == {1: {"identifier", "opaque"}, 2: set(), 3: set(), 4: set(), 5: {"endpoint", "opaque", "identifier"}, 6: set()}
 
 
+def test_values_after_an_equals_sign_are_opaque(spark):
+    opaque = "Zz9" * 7
+    rows = [(1, f"user=bob;auth={opaque}"), (2, f"https://h.example.com sig={opaque}=="), (3, f"AUTH={opaque} alone"), (4, f"user=bob\nPWD={opaque}\nkey='{opaque}'")]
+    found = {r["doc_id"]: sorted((s["kind"], t[s["start"]:s["end"]]) for s in r["added"]) for r in secrets.find(table(spark, rows)).collect() for t in [dict(rows)[r["doc_id"]]]}
+    assert found == {
+        1: [("identifier", "user=bob"), ("opaque", opaque)], 2: [("opaque", opaque + "==")], 3: [],
+        4: [("identifier", "user=bob"), ("opaque", opaque), ("opaque", opaque)],
+    }
+
+
 def test_matches_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(spans, "STEP", 3)
     df = spark.createDataFrame([("é1 22, 333 4 55555 6 7 8",)], "t string")
