@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The model fitted on at most `documents` labelled rows (and `most` passages) whose key's remainder is not 0.
 
     The rows with the smallest hashes of their keys are taken: a bounded, repeatable sample. It meets the documents by a
-    broadcast of those keys; only the passages' features of the sample come to the driver.
+    broadcast of those keys; only the passages' features of the sample come to the driver. A document whose passages would
+    pass `most` is left out and the next ones are still taken; one that has more than `most` alone stays in its task.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key, modulus) != 0))
     chosen = chosen.groupBy(F.col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
@@ -149,17 +150,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x[a:b].astype("<f4").tobytes() for x, first in passages(batch.column(2)) for a, b in zip(first[:-1], first[1:])]
+            rows = [x[a:b].astype("<f4").tobytes() if b - a <= most else None for x, first in passages(batch.column(2)) for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["key", "label", "bag"])
 
     sample = docs.select(F.col(key).alias("key"), text_of(text).alias("body")).join(F.broadcast(chosen), "key")
     made = sample.select("key", "label", "body").mapInArrow(encode, f"key {dict(docs.dtypes)[key]}, label int, bag binary")
     bags, marks, total = [], [], 0
-    for row in made.orderBy(F.xxhash64("key"), "key", "bag").limit(documents).toLocalIterator():
+    for row in made.filter(F.col("bag").isNotNull()).orderBy(F.xxhash64("key"), "key", "bag").limit(documents).toLocalIterator():
         bag = np.frombuffer(row["bag"], "<f4").reshape(-1, FEATURES)
+        if total + len(bag) > most:
+            continue
         total += len(bag)
-        if total > most and bags:
-            break
         bags.append(bag), marks.append(row["label"])
     return fit(bags, np.array(marks, float))
 

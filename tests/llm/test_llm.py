@@ -126,6 +126,17 @@ def test_quality_on_bad_rows(spark, messy, empty):
     assert set(quality_mil.keep_good(messy, labels).columns) == set(messy.columns)
 
 
+def test_long_documents_do_not_end_the_sample(spark, monkeypatch):
+    order = [r["id"] for r in spark.range(1, 41).orderBy(F.xxhash64("id"), "id").collect() if zlib.crc32(str(r["id"]).encode()) % 5]
+    sizes = {key: 1 for key in order} | {order[0]: 30, order[1]: 15, order[4]: 15}  # passages: more than all, fits, no longer fits
+    docs = table(spark, [(key, "w" * (quality_mil.PASSAGE * n)) for key, n in sizes.items()])
+    labels = spark.createDataFrame([(key, key % 2) for key in order], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality_mil, "fit", lambda bags, marks: seen.append([len(b) for b in bags]))
+    quality_mil.train(docs, labels, most=20)
+    assert seen == [[15, 1, 1, 1, 1, 1]]
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     model = quality_mil.Attention(np.zeros(quality_mil.FEATURES), np.ones(quality_mil.FEATURES))
