@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corpusflow.llm import forest, lattice_lm, main_text, ngram_join, packing, pii, quality_mil, secrets, sharding, sql, winnow
+from corpusflow.llm import filter_audit, forest, lattice_lm, main_text, mixing, ngram_join, packing, pii, quality_mil, secrets, sharding, spelling, sql, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -71,6 +71,21 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, folder, "documents")))
 
 
+@query
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(table(spark, folder, "documents"))).drop("source")
+
+
+@query
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -55,4 +55,57 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_winnowing": WINNOWING, "op1_sharding": SHARDING}
+MIXING = r"""
+WITH d AS (
+    SELECT doc_id, source, md5(coalesce(text, '')) AS digest, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS place,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+    FROM documents),
+sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighed AS (
+    SELECT source, source_size, 2.0 * source_size::DOUBLE AS most, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+    FROM sized),
+filled AS (
+    SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS words, (sum(weight) OVER ())::DOUBLE AS all_weights,
+        coalesce(sum(most) OVER before, 0)::DOUBLE AS spent, coalesce(sum(weight) OVER before, 0)::DOUBLE AS gone
+    FROM weighed WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT max((words - spent) / (all_weights - gone)) AS height FROM filled),
+targets AS (SELECT source, source_size, least(weight * height, most) AS target, floor(least(weight * height, most) + 0.5)::BIGINT AS goal FROM filled, level),
+lines AS (
+    SELECT d.*, source_size, target, goal,
+        (sum(size) OVER (PARTITION BY d.source ORDER BY place, size, digest ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+    FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target,
+    (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - source_size - start)))::BIGINT AS taken
+FROM lines
+"""
+
+AUDIT = r"""
+WITH marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS failed
+    FROM d LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+    SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM letters a, letters b, letters x, letters y, letters z
+    WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS letter, filter_order[:step - 1] AS before FROM orders, range(1, 6) t(step)),
+met AS (
+    SELECT *, contains(failed, letter) AS fails, length(translate(failed, before, '')) < length(failed) AS gone
+    FROM cells, steps),
+counted AS (
+    SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+        coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failed = letter), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+    FROM met GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM counted
+"""
+
+ORACLES: dict[str, str] = {"op9_winnowing": WINNOWING, "op1_sharding": SHARDING, "op11_mixing": MIXING, "op13_filter_audit": AUDIT}

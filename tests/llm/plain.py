@@ -1,7 +1,10 @@
 """Plain Python versions of the operators' results, for comparison."""
 
 import hashlib
+import itertools
 import re
+import zlib
+from collections import Counter
 
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -117,3 +120,58 @@ def segmentations(word, scores):
     for high in range(1, len(word) + 1):
         total[high] = sum(total[low] * scores.get(word[low:high], 0.0) for low in range(high))
     return total[-1]
+
+
+def spelled(docs):
+    """[(word, n, n_near, form, form_n, root)] over all words and their spellings without one letter."""
+    seen = Counter()
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(ASCII_LOWER)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            seen[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    n = {w: c for w, c in seen.items() if len(w) >= 7 and c >= 2}
+    near, holes = {w: set() for w in n}, {}
+    for w in n:
+        for i in range(len(w)):
+            short = w[:i] + w[i + 1 :]
+            holes.setdefault((i, short), []).append(w)
+            if short in n:
+                near[w].add(short), near[short].add(w)
+    for group in holes.values():
+        for w in group:
+            near[w].update(x for x in group if x != w)
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) if near[w] else None for w in n}
+    form = {w: b if b and n[b] >= 10 * n[w] else None for w, b in best.items()}
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return [(w, n[w], len(near[w]), form[w], n.get(form[w]), root(w)) for w in n]
+
+
+def filtered(docs, labels):
+    """[(part, order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)], document by document."""
+    good, toxic = ({k for k, *marks in labels if marks[i] == 1} for i in (0, 1))
+    rows = []
+    for key, source, text in docs:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        failed = {"A": len(words) < 50, "B": 100 * len(set(words)) < 65 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text)}
+        failed |= {"D": bool(re.search("[#$%&*|]", text)), "E": key is not None and any(k is not None and k < key and (t or "") == text for k, _, t in docs)}
+        rows.append((source or "", failed, key in good, key in toxic))
+    out = []
+    for part in {r[0] for r in rows}:
+        steps, credit = [], Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = [r for r in rows if r[0] == part]
+            for step, f in enumerate(order, 1):
+                lost, left = [r for r in left if r[1][f]], [r for r in left if not r[1][f]]
+                credit[f] += len(lost)
+                failing = [r for r in rows if r[0] == part and r[1][f]]
+                alone = sum(sum(r[1].values()) == 1 for r in failing)
+                steps.append((f, "".join(order), step, len(left), len(lost), len(failing) - len(lost), alone, sum(r[2] for r in lost), sum(r[3] for r in lost)))
+        out += [(part, *s[1:], credit[s[0]]) for s in steps]
+    return out
