@@ -154,7 +154,7 @@ def spelled(docs):
 
 def filtered(docs, labels):
     """[(part, order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)], document by document."""
-    good, toxic = ({k for k, *marks in labels if marks[i] == 1} for i in (0, 1))
+    good, toxic = ({k for k, *marks in labels if k is not None and marks[i] == 1} for i in (0, 1))
     rows = []
     for key, source, text in docs:
         text = text or ""
