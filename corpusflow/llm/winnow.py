@@ -125,7 +125,14 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no window of an item occurs, with all their columns."""
+    """The documents in which no window of an item occurs, with all their columns, whatever their names.
+
+    A null or empty text holds no window, so it stays; repeated rows stay or go together; null keys are keys. An empty
+    benchmark drops nothing, an empty table gives no rows.
+    """
     key, text = options.get("key", "doc_id"), options.get("text", "text")
-    hits = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_hit_id"), F.col("body_hash").alias("_hit_hash"))
-    return docs.join(_small(hits), docs[key].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_hit_hash")), "left_anti")
+    hits = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id"), F.col("body_hash").alias("hit_hash"))
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no helper name can be among these
+    own, body = (F.col(f"c{docs.columns.index(c)}") for c in (key, text))
+    same = own.eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("hit_hash"))
+    return numbered.join(_small(hits), same, "left_anti").toDF(*docs.columns)
