@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BYTES_AT_ONCE = 4 << 20  # of text; bounds the working memory (a longer text is taken alone)
+BYTES_AT_ONCE = 1 << 20  # of text; bounds the working memory (a longer text is taken alone)
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).parent))
 import plain  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from corpusflow.llm import components, forest, lattice_lm, main_text, ngram_join, packing, pii, quality_mil, queries, secrets, sharding, spans, winnow  # noqa: E402
+from corpusflow.llm import components, forest, lattice_lm, main_text, ngram_join, packing, pii, quality_mil, queries, secrets, sharding, shingles, spans, winnow  # noqa: E402
 from corpusflow.plans import compare  # noqa: E402
 
 # names that the operators use inside themselves
@@ -375,17 +376,40 @@ def variants(seed, base, n):
     return out
 
 
-@pytest.mark.parametrize("budget", [2, 0])
-def test_near_copies(spark, monkeypatch, budget):
+@pytest.mark.parametrize("rounds, block", [(8, 512), (1, 3)])
+def test_near_copies(spark, monkeypatch, rounds, block):
     rows = [r for r in ROWS if r[0] is not None]
     texts = variants(1, phrase(120, 7), 24) + variants(2, phrase(60, 8), 14) + [phrase(50, 9) + " " + phrase(20, 100 + i) for i in range(8)] + [phrase(3, 11)] * 5 + variants(3, phrase(7, 12), 6)
     rows += [(100 + i, t) for i, t in enumerate(texts)]
-    defaults = ngram_join.linked_sets.__defaults__
-    monkeypatch.setattr(ngram_join.linked_sets, "__defaults__", (*defaults[:-1], budget))
+    monkeypatch.setattr(ngram_join, "ROWS_AT_ONCE", block)
+    monkeypatch.setattr(ngram_join.linked_sets, "__defaults__", (*ngram_join.linked_sets.__defaults__[:-1], rounds))
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_copies(table(spark, rows)).collect())
     assert got == sorted(plain.copies(rows))
 
 
+def test_passages_of_a_third_of_all_texts_link_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROWS_AT_ONCE", 16)
+    shared = [phrase(30, 300 + i) for i in range(6)]
+    rng = random.Random(4)
+    rows = [(i, shared[0] + " " + phrase(28, 400 + i)) for i in range(60)]  # one passage in half of the text
+    rows += [(100 + i, " ".join(rng.sample(shared, 3))) for i in range(60)]  # nothing but shared passages
+    rows += [(200 + i, phrase(60, 500 + i // 2) + (" end" if i % 2 else "")) for i in range(60)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_copies(table(spark, rows)).collect())
+    assert got == sorted(plain.copies(rows))
+
+
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    entries = spark.createDataFrame([(5, 7), (5, 7 + 2**40), (6, 9), (6, 9)], "token bigint, key bigint")
+    assert [r["token"] for r in ngram_join._shared(entries, "key").collect()] == [5]
+    run = ngram_join._entries(5, 75, ngram_join.Frequent(np.zeros(1, np.uint64), np.zeros(1, np.int64)), frozenset([ngram_join.set_key(next(shingle_sets_of(phrase(30, 1))))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([phrase(30, 1)])], names=["doc_id", "body"])
+    assert len({k for out in run([batch]) for k in out.column(1).to_pylist()}) == 2
+
+
+def shingle_sets_of(text):
+    return shingles.text_sets(pa.array([text]))
+
+
 def test_near_copies_on_bad_rows(messy, empty):
     assert ngram_join.near_copies(messy).count() == len(ROWS)
     kept = [r["doc_id"] for r in ngram_join.keep_first(messy).collect()]
@@ -402,6 +426,18 @@ def test_first_copies_by_row_and_not_by_key(spark):
     assert kept == Counter([(None, one), (None, None), (None, ""), (1, three), (2, four), (2, five), (2, ""), (2, " ")])
 
 
+def test_helper_names_as_columns(spark):
+    """Names that the stages use inside themselves stay as the user has them."""
+    names = ["_kept", "_node", "_row", "_hit_id", "kept_key", "kept_node", "node", "row", "hit_id", "hit_hash", "c0", "c1"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in ((1, phrase(30, 1)), (1, phrase(30, 2)), (2, phrase(30, 1)), (None, phrase(30, 3)), (None, None))]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {', '.join(f'{n} string' for n in names)}")
+    kept = [tuple(r) for r in ngram_join.keep_first(docs).collect()]
+    assert Counter(kept) == Counter(r for r in rows if r[0] != 2)
+    benchmark = spark.createDataFrame([(1, phrase(30, 2))], "item_id bigint, text string")
+    clean = winnow.drop_contaminated(docs, benchmark)
+    assert clean.columns == docs.columns and Counter(map(tuple, clean.collect())) == Counter(r for r in rows if r[1] != phrase(30, 2))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (102, 100), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
