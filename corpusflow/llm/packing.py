@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +55,24 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
     vocabulary = vocabulary or vocabulary_path()
     fields = "piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if keep_ids else "")
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ranks_tokenizer(vocabulary)
-        for frame in frames:
-            out = []
-            for doc_id, body in zip(frame["doc_id"], frame["body"]):
+        for batch in batches:
+            row, piece, start, length, crc, kept = [], [], [], [], [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(np.array(tokens(body), dtype="<u4"), np.uint32(END_ID)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids), capacity), len(ids)]
-                for piece, (low, high) in enumerate(zip(edges, edges[1:])):
+                for number, (low, high) in enumerate(zip(edges, edges[1:])):
                     part = ids[low:high]
-                    out.append((doc_id, piece, low, high - low, zlib.crc32(part.tobytes()), *([part.astype("int32")] if keep_ids else [])))
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
-
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(text).alias("body")).mapInPandas(encode, f"doc_id bigint, {fields}")
+                    row.append(i), piece.append(number), start.append(low), length.append(high - low), crc.append(zlib.crc32(part.tobytes()))
+                    if keep_ids:
+                        kept.append(part.astype("int32"))
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])], names=names)
+
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(text).alias("body")).mapInArrow(encode, f"doc_id bigint, {fields}")
 
 
 # --- the plan ----------------------------------------------------------------------------------------------------------------
