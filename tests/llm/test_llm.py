@@ -2,6 +2,7 @@
 
 import math
 import random
+import string
 import sys
 import pathlib
 import zlib
@@ -209,7 +210,9 @@ def test_packing(spark, messy, empty):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
-    extra = messy.unionByName(table(spark, [(20, "a <|endoftext|> b"), (21, "日本語 text\r\n\r\n  x")]))
+    rng = random.Random(8)
+    noise = [(2**53 + 1 + 2 * i, "".join(rng.choice(string.printable + "äß日本語🙂\u0301\u00a0\u200d") for _ in range(rng.randint(1, 300)))) for i in range(200)]
+    extra = messy.unionByName(table(spark, [(20, "a <|endoftext|> b"), (21, "日本語 text\r\n\r\n  x"), *noise]))
     rows = packing.pack_documents(extra, keep_ids=True).collect()
     bins = {}
     for r in rows:
@@ -222,7 +225,7 @@ def test_packing(spark, messy, empty):
             at += length
         assert at <= 2048
     whole = Counter()
-    for key, text in [*ROWS, (20, "a <|endoftext|> b"), (21, "日本語 text\r\n\r\n  x")]:
+    for key, text in [*ROWS, (20, "a <|endoftext|> b"), (21, "日本語 text\r\n\r\n  x"), *noise]:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         first = len(ids) % 2048 or 2048
         for piece, low in enumerate([0, *range(first, len(ids), 2048)]):
@@ -238,7 +241,7 @@ def test_packing(spark, messy, empty):
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this page</div><article><h1>Title &amp; more</h1><p>First  <b>bold</b>
 line of the main text goes here.<br>Next<p>Second &#233;t&eacute; paragraph, with many more words in it.</p><div class="ad">Buy now and save</div>
-<script>var x = "</p>";</script><form><label>Mail</label><input></form><ul><li>one item</li><li>two</li></ul><section id="comments"><p>Nice post</p></section></article>
+<script>var x = "</p>";</script><form><label>Mail</label><input></form><ul><li>one item</li><li>two</li></ul><section class="comments"><p>Nice post</p></section></article>
 <aside>Related things to read</aside><footer>All rights reserved</footer></body></html>"""
 
 
@@ -281,6 +284,33 @@ def test_wrapper_of_an_article_is_no_boilerplate(names):
     assert main_text.extract(f"<aside class='{names}'><article><p>{STORY}</p></article></aside>", WEIGHTS) == ""
 
 
+@pytest.mark.parametrize("inner, text", [
+    ("<h2 id='how-to-share-files'>How to share files</h2>", "How to share files"),
+    ("<section id='related-work'><h2>Related work</h2><p>Others did so too.</p></section>", "Related work\nOthers did so too."),
+    ("<section id='comments'><p>What the reviewers said.</p></section>", "What the reviewers said."),
+    ("<div class='notice-of-award'><p>The award goes to her.</p></div>", "The award goes to her."),
+    ("<p>The <span class='social'>social</span> question</p>", "The social question"),
+    ("<header><h1>A headline</h1></header>", "A headline"),
+    ("<p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "Then x=1 holds"),
+    ("<p><label>Term</label> and what it means</p>", "Term and what it means"),
+    ("<div class='ad-slot'>Buy now</div>", ""), ("<ul class='social share-links'><li>Share</li></ul>", ""), ("<div class='comments-list'><p>Nice</p></div>", ""),
+    ("<footer>By someone</footer>", ""), ("<aside>More</aside>", ""), ("<div role='alert'>Cookies</div>", ""), ("<p hidden>not shown</p>", ""),
+])
+def test_inside_an_article_only_names_of_boilerplate_go(inner, text):
+    page = f"<body><header>Site</header><nav>Home</nav><article><p>{STORY}</p>{inner}<p>{STORY}</p></article><footer>Rights</footer></body>"
+    assert main_text.extract(page, WEIGHTS) == "\n".join(filter(None, [STORY, text, STORY]))
+
+
+def test_class_names_are_learned():
+    page = f"<body><div class='kiosk'><p>{'buy this now or later ' * 20}</p></div><article class='x'><p>{STORY}</p></article></body>"
+    counts = {}
+    for name, (a, b) in main_text.occurrences(page).items():
+        counts[name] = (4 * a, 4 * b)
+    weights = main_text.weights_of(counts)
+    assert weights[".kiosk"] < 0 and ".x" not in weights
+    assert main_text.extract(f"<div><p>{STORY}</p><div class='kiosk'>buy this now</div><p>{STORY}</p></div>", weights | {"p": -0.1, "div": -0.1}) == f"{STORY}\n{STORY}"
+
+
 def test_marked_content_only_widens_the_region():
     light = {"word": 1.0, "": -0.5}
     cards = "<article>one teaser card with words</article><article>another teaser card with words</article>"
