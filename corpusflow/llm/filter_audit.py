@@ -161,5 +161,5 @@ def audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", part: str = "
     A null text is empty, a null part the empty string. A row without a key never fails E and makes no other fail it; rows
     that repeat key and text fail alike. Of repeated labels the highest count. An empty table gives no rows. Only the named columns are read.
     """
-    rows = cut_lineage(with_labels(text_failures(docs, key, part, text), labels))
-    return orders_of(mask_cells(rows))
+    rows = cut_lineage(text_failures(docs, key, part, text))  # texts are read once
+    return orders_of(mask_cells(cut_lineage(with_labels(rows, labels))))
