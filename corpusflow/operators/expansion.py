@@ -208,15 +208,18 @@ def compound_keywords(keywords: Column, cap: int = 8) -> Column:
 
 def rewrite_query(
     query: Column, related_terms: Column | None = None, specific=V.SPECIFIC_TERMS, triggers=V.SPECIFIC_TRIGGERS,
-    suffix: str = V.SPECIFIC_SUFFIX, static=V.STATIC_EXPANSIONS, **dictionaries,
+    suffix: str = V.SPECIFIC_SUFFIX, static=V.STATIC_EXPANSIONS, dynamic: bool = True, **dictionaries,
 ) -> Column:
-    """Cascade: a specific term gets at most a suffix; else the dynamic expansion, else corpus terms, else the static one."""
+    """Cascade: a specific term gets at most a suffix; else the dynamic expansion, else corpus terms, else the static one.
+
+    `dynamic` switches the dynamic expansion off, for questions whose dictionary is missing.
+    """
     bare = T.strip(query)
     asks = T.contains_any(bare, triggers)
-    dynamic = T.join(expand_keywords(bare, 20, **dictionaries), " ")
+    expanded = T.join(expand_keywords(bare, 20, **dictionaries), " ") if dynamic else F.lit("")
     stages = F.when(
         T.contains_any(bare, specific), F.when(asks, F.concat(bare, F.lit(suffix))).otherwise(bare)
-    ).when((dynamic != "") & (dynamic != bare), dynamic)
+    ).when((expanded != "") & (expanded != bare), expanded)
     if related_terms is not None:
         joined = F.slice(unique_terms(F.concat(T.split_words(query), F.slice(related_terms, 1, 10))), 1, 25)
         stages = stages.when(F.size(related_terms) > 0, T.join(joined, " "))

@@ -203,10 +203,15 @@ def keyword_hits(
     return lexical.unionByName(tfidf)
 
 
-def named_weights(docs: DataFrame, terms: Column, feats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, words, weights): like term_weights with the terms themselves, for the few documents of a result list."""
-    raw = postings(docs, terms, key).join(F.broadcast(feats), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+def unit_vectors(post: DataFrame, feats: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, words, weights) of postings (key, term, tf): weighted by the features and normalised."""
+    raw = post.join(F.broadcast(feats), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))  # at most max_features rows
     vectors = raw.groupBy(key).agg(
         F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
     return vectors.select(key, F.col("v.term").alias("words"), F.transform("v.w", lambda w: w / F.col("norm")).alias("weights"))
+
+
+def named_weights(docs: DataFrame, terms: Column, feats: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, words, weights): like term_weights with the terms themselves, for the few documents of a result list."""
+    return unit_vectors(postings(docs, terms, key), feats, key)

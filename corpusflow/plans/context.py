@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
 from corpusflow.functions import text as T
-from corpusflow.operators import context, lexical, ranking, structure, summary
+from corpusflow.operators import context, ranking, structure, summary
 from corpusflow.plans import sql as S
 from corpusflow.plans.clean import _KEPT
 from corpusflow.plans.registry import register
-from corpusflow.plans.retrieval import TFIDF, passages
+from corpusflow.plans.retrieval import TFIDF, find, passages
 from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, table, within
 
 
@@ -31,7 +31,7 @@ def results(spark, sf):
     Retrieval runs once: its few rows for each question are kept, and texts are fetched by their ids.
     """
     docs = table(spark, sf, "documents")
-    found = cut_lineage(lexical.tfidf_top_k(docs, passages(spark, sf)).withColumn("score", 1 - F.col("distance")))
+    found = cut_lineage(find(spark, sf)(passages(spark, sf), 12).withColumn("score", 1 - F.col("distance")))
     meta = docs.select(
         "doc_id", "text", "source", F.concat("source", F.lit("_"), "lang", F.lit(".txt")).alias("file_name"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit(None).cast("int").alias("page"),

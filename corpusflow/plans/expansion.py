@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from corpusflow import fixed_values as V
 from corpusflow.functions import text as T
 from corpusflow.operators import expansion as X
-from corpusflow.operators import lexical
+from corpusflow.operators import inverted
 from corpusflow.plans import sql as S
 from corpusflow.plans.registry import register
-from corpusflow.plans.retrieval import TFIDF, passages
-from corpusflow.session import table
+from corpusflow.plans.retrieval import TFIDF, find, index, passages
+from corpusflow.session import cut_lineage, table
 
 # dictionaries for the fixture's invented words
 SYNONYMS = {"the": ("then", "ther", "thea", "thes"), "tion": ("ation", "ition", "ting", "tive"), "and": ("with", "plus", "also"), "ing": ("ings", "inge", "ent")}
@@ -191,21 +191,21 @@ def terms_highlighted(spark, sf):
     return passages(spark, sf).select("query_id", X.highlight(F.col("text"), _question_terms(F.col("text"))).alias("out"))
 
 
-@register("corpus_related_terms", f"""
-    WITH {TFIDF},
+RELATED = f"""
     hv AS (SELECT query_id, term, w, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(w, 6) DESC, term) AS r FROM tfidf JOIN doc_w USING (doc_id) WHERE rank <= 5),
     cl AS (SELECT item_id AS query_id, text, trim({S.sub('text', r'[^\w]+', ' ')}) AS c FROM benchmark),
     cl2 AS (SELECT query_id, text, lower(array_to_string(list_filter({S.words('c')}, lambda w: len(w) > 1), ' ')) AS c FROM cl),
     fr AS (SELECT cl2.query_id, any_value(text) AS text, list(DISTINCT term ORDER BY term) FILTER (term IS NOT NULL AND len(term) > 1 AND NOT contains(c, term)) AS ts
         FROM cl2 LEFT JOIN (SELECT query_id, term FROM hv WHERE r <= 10 AND round(w, 6) > 0.1) h ON h.query_id = cl2.query_id GROUP BY cl2.query_id),
-    al AS (SELECT query_id, list_concat(coalesce(ts, []), list_filter({S.words('text')}, lambda w: len(w) > 1)) AS ws FROM fr)
+    al AS (SELECT query_id, text, list_concat(coalesce(ts, []), list_filter({S.words('text')}, lambda w: len(w) > 1)) AS ws FROM fr)"""
+
+
+@register("corpus_related_terms", f"""
+    WITH {TFIDF}, {RELATED}
     SELECT query_id, array_to_string(({ordered_distinct('ws')})[1:20], '|') AS terms FROM al""")
 def corpus_related_terms(spark, sf):
-    docs, asked = table(spark, sf, "documents"), passages(spark, sf)
-    terms = lexical.index_terms(F.col("text"))
-    feats = lexical.numbered(lexical.features(docs, terms))
-    found = lexical.tfidf_top_k(docs, asked, k=12)
-    used = found.filter(F.col("rank") <= 5).select("doc_id").distinct()
-    vectors = lexical.named_weights(docs.join(used, "doc_id", "left_semi"), terms, feats)
+    asked, path = passages(spark, sf), index(spark, sf)
+    found = cut_lineage(inverted.tfidf_top_k(spark, path, asked, k=12))
+    vectors = inverted.document_vectors(spark, path, found.filter(F.col("rank") <= 5))
     rows = X.corpus_terms(found, vectors, asked)
     return rows.select("query_id", T.join("terms", "|").alias("terms"))

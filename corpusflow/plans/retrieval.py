@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
-from corpusflow.operators import lexical, ranking, vector
+from corpusflow.operators import inverted, ranking, vector
 from corpusflow.plans import sql as S
 from corpusflow.plans.registry import register
 from corpusflow.session import table
@@ -17,6 +17,17 @@ def passages(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark, sf):
+    """Folder of the stored index of `documents`: the first query of a session builds it, the others read it."""
+    return inverted.stored(spark.read.parquet(f"{sf}/documents.parquet"), table(spark, sf, "documents"))
+
+
+def find(spark, sf, **options):
+    """The TF-IDF search over the stored index, as operators.search takes it."""
+    path = index(spark, sf)
+    return lambda asked, k: inverted.tfidf_top_k(spark, path, asked, k, **options)
+
+
 def passage_vectors(spark, sf):
     """Each passage asks with the vector of the same number."""
     return table(spark, sf, "embeddings").join(
@@ -117,45 +128,28 @@ HYBRID = f"""{VECTORS}, {PASSAGE_VECTORS}, {nearest('near', 'pvecs', 'vecs', 've
 
 @register("lexical_features", f"WITH {FEATURES} SELECT term, df, corpus_tf, round(idf, 6) AS idf FROM feats")
 def lexical_features(spark, sf):
-    docs = table(spark, sf, "documents")
-    return lexical.features(docs, lexical.index_terms(F.col("text"))).withColumn("idf", F.round("idf", 6))
+    return inverted.features(spark, index(spark, sf)).select("term", "df", "corpus_tf", F.round("idf", 6).alias("idf"))
 
 
-@register("query_postings_inner_product", f"""
-    WITH {FEATURES}, {_weights('doc', 'doc_id')}, {_postings('q', 'item_id', 'benchmark')}, {_weights('q', 'item_id')}
-    SELECT term, count(*) AS documents, round(sum(doc_w.w), 4) AS weight FROM doc_w
-    WHERE term IN (SELECT term FROM q_w) GROUP BY term""")
+@register("query_postings_inner_product", f"WITH {TFIDF} SELECT query_id, doc_id, similarity AS product FROM tfidf_all")
 def query_postings_inner_product(spark, sf):
-    """Weight mass per query term: the semi join of document weights with the terms that are asked for."""
-    docs, asked = table(spark, sf, "documents"), passages(spark, sf)
-    terms = lexical.index_terms(F.col("text"))
-    feats = lexical.numbered(lexical.features(docs, terms))
-    rows = lexical.term_weights(docs, terms, feats)
-    used = lexical.postings(asked, terms, "query_id").select("term").distinct()
-    wanted = F.broadcast(feats.join(used, "term", "left_semi").select("term", "term_id"))
-    flat = rows.select(F.explode(F.arrays_zip("terms", "weights")).alias("p")).select(
-        F.col("p.terms").alias("term_id"), F.col("p.weights").alias("w")
-    )
-    return (
-        flat.join(wanted, "term_id")
-        .groupBy("term")
-        .agg(F.count("*").alias("documents"), F.round(F.sum("w"), 4).alias("weight"))
-    )
+    """The inner product of every question and document that share a feature."""
+    return inverted.inner_products(spark, index(spark, sf), passages(spark, sf))
 
 
 @register("retrieval_ranked", f"WITH {TFIDF} SELECT query_id, rank, doc_id, similarity, round(1 - similarity, 6) AS distance FROM tfidf")
 def retrieval_ranked(spark, sf):
-    return lexical.tfidf_top_k(table(spark, sf, "documents"), passages(spark, sf))
+    return find(spark, sf)(passages(spark, sf), K)
 
 
 @register("bm25_ranked", f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm25")
 def bm25_ranked(spark, sf):
-    return lexical.bm25_top_k(table(spark, sf, "documents"), passages(spark, sf))
+    return inverted.bm25_top_k(spark, index(spark, sf), passages(spark, sf))
 
 
 @register("keyword_list", f"WITH {TFIDF}, {BM25}, {KEYWORD} SELECT * FROM kw")
 def keyword_list(spark, sf):
-    return lexical.keyword_hits(table(spark, sf, "documents"), passages(spark, sf))
+    return inverted.keyword_hits(spark, index(spark, sf), passages(spark, sf))
 
 
 @register("retrieval_evaluation", f"""
@@ -181,7 +175,7 @@ def best_relevant_ranks(spark, sf):
 
 def _best_ranks(spark, sf):
     docs, asked = table(spark, sf, "documents"), passages(spark, sf)
-    found = lexical.tfidf_top_k(docs, asked)
+    found = find(spark, sf)(asked, K)
     golden = asked.select("query_id", F.array("text").alias("expected"))
     return ranking.best_relevant_rank(found.join(docs.select("doc_id", "text"), "doc_id"), golden, "text")
 
@@ -253,10 +247,9 @@ def eligible_vectors(spark, sf):
 
 
 def hybrid_results(spark, sf):
-    docs, asked = table(spark, sf, "documents"), passages(spark, sf)
     vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     near = vector.adaptive_threshold(vector.vector_top_k(vectors, passage_vectors(spark, sf), key="doc_id"))
-    return ranking.hybrid_fusion(near, lexical.keyword_hits(docs, asked))
+    return ranking.hybrid_fusion(near, keyword_list(spark, sf))
 
 
 @register("hybrid_ranked", f"WITH {HYBRID} SELECT query_id, rank, doc_id, score FROM hybrid")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow import fixed_values as V
 from corpusflow.functions import text as T
 from corpusflow.operators import (
-    chunking, context, dedup, expansion, lexical, ranking, reports, scoring, search, structure, summary, vector,
+    chunking, context, dedup, expansion, inverted, lexical, ranking, reports, scoring, search, structure, summary, vector,
 )
 
 
@@ -153,6 +153,42 @@ def test_lexical_grid_equals_broadcast(spark, small):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, grid.collect()))
 
 
+def test_stored_index_of_batches_equals_a_scan(spark, small, monkeypatch, tmp_path):
+    """Two batches, small blocks, several groups of questions, a word of every document: the same rows as without an index."""
+    monkeypatch.setattr(inverted, "BLOCK", 16)
+    monkeypatch.setattr(inverted, "QUERIES_AT_ONCE", 4)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.concat(F.lit("every one "), "text").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(10_000, None), (10_001, ""), (10_002, "the of"), (10_003, "word")], "doc_id bigint, text string"))
+    asked = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.concat(F.lit("every "), "text").alias("text")).limit(12)
+    asked = asked.unionByName(spark.createDataFrame([(-1, ""), (-2, "unheardofword")], "query_id bigint, text string"))
+    path = str(tmp_path / "index")
+    for part in range(2):
+        inverted.add(docs.filter(F.col("doc_id") % 2 == part), path, batch=str(part))
+    inverted.refresh(spark, path)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(inverted.tfidf_top_k(spark, path, asked)) == rows(lexical.tfidf_top_k(docs, asked))
+    assert rows(inverted.bm25_top_k(spark, path, asked)) == rows(lexical.bm25_top_k(docs, asked))
+    assert rows(inverted.keyword_hits(spark, path, asked)) == rows(lexical.keyword_hits(docs, asked))
+    feats = lexical.features(docs, lexical.index_terms(F.col("text")))
+    assert rows(inverted.features(spark, path).drop("term_id")) == rows(feats)
+    products = {(r["query_id"], r["doc_id"]): r["product"] for r in inverted.inner_products(spark, path, asked).collect()}
+    assert all(products[r["query_id"], r["doc_id"]] == r["similarity"] for r in inverted.tfidf_top_k(spark, path, asked).collect())
+    largest = spark.read.parquet(f"{path}/terms").agg(F.max(F.size("docs"))).first()[0]
+    assert 1 < largest <= 16
+    inverted.add(spark.createDataFrame([(20_000, "unheardofword here")], "doc_id bigint, text string"), path, batch="2")
+    assert [r["doc_id"] for r in inverted.bm25_top_k(spark, path, asked).filter("query_id = -2").collect()] == [20_000]  # before any refresh
+
+
+def test_stored_index_follows_its_files(spark, tmp_path):
+    folder = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "some words here"), (2, "other words there")], "doc_id bigint, text string").write.parquet(folder)
+    read = lambda: spark.read.parquet(folder)
+    first = inverted.stored(read(), read())
+    assert inverted.stored(read(), read()) == first
+    spark.createDataFrame([(3, "more words")], "doc_id bigint, text string").write.mode("append").parquet(folder)
+    assert inverted.stored(read(), read()) != first
+
+
 def test_mmr_is_greedy(spark, small):
     vectors = spark.read.parquet(f"{small}/embeddings.parquet")
     queries = vector.centroids(vectors)
