@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ def clean_batch(docs: DataFrame, key: str = "doc_id", text: str = "text", search
 
 # --- near duplicates ---------------------------------------------------------------------------------------------------------
 
-HOT_WORDS = 1000
+SKETCH = 1 << 20  # counters of word frequencies; words that share one are ordered as if they were equally frequent
 
 
 def _word_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,29 +52,46 @@ def _word_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
-    """Adds `prefix`: the words of a set that any similar set must share one of.
+    """Adds `prefix`: the hashes of the words of a set that any similar set must share one of, rarest first.
 
-    A set of s words with overlap threshold t shares a word among its first s - ceil(t s) + 1 words in one global order.
-    Rare words come first: the most frequent HOT_WORDS words (a bounded list) go last, by frequency, so that buckets stay
-    small.  The order is applied inside the row.
+    A set of s words with overlap threshold t shares a word among its first s - ceil(t s) + 1 words in one global order, here
+    of all words by their frequency.  The frequencies are a table of SKETCH counters that every task holds; any order that
+    all rows share is exact, so words that share a counter only make a bucket larger.  The order is applied inside the row.
     """
-    counts = explode_once(sets.select("words"), "words", "w").groupBy("w").count()
-    hot = [r["w"] for r in counts.orderBy(F.col("count").desc(), "w").limit(HOT_WORDS).collect()]
-    order = F.array(*(F.lit(w) for w in reversed(hot))) if hot else F.array().cast("array<string>")
-    ordered = F.concat(F.sort_array(F.array_except("words", order)), F.array_intersect(order, F.col("words")))
-    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    return sets.withColumn("prefix", F.slice(ordered, F.lit(1), length))
+    coded = sets.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
+    slot = F.col("c").bitwiseAND(F.lit(SKETCH - 1)).cast("int")
+    counts = explode_once(coded.select("codes"), "codes", "c").groupBy(slot.alias("slot")).count().toArrow()  # at most SKETCH rows
+    often = np.zeros(SKETCH, np.int64)
+    often[counts["slot"].to_numpy()] = counts["count"].to_numpy()
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("codes"))
+            codes, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(batch)), sizes)
+            order = np.lexsort((codes, often[codes & (SKETCH - 1)], row))
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
+            held = place < keep[row]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[held], minlength=len(batch)))])
+            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes[order][held]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), prefix], ["id", "n", "words", "size", "prefix"])
+
+    rows = coded.select("id", "n", "words", "size", "codes")
+    return rows.mapInArrow(ordered, f"id {dict(sets.dtypes)['id']}, n int, words array<string>, size int, prefix array<bigint>")
 
 
 def _bucketed(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, w, n, size): bucket entries of a row, one per prefix word in its own size band and in the next.
+    """(id, w, n, size, left): bucket entries of a row, one per prefix word in its own size band and in the next.
 
     Bands are a factor of the threshold wide, so the sizes of similar sets are at most one band apart and meet in a bucket.
+    `left` counts the words from this one to the end of the set: no pair that meets here has more in common, unless it met
+    at an earlier word.
     """
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
-    return sets.select("id", "n", "size", F.explode("prefix").alias("word"), band.alias("band")).select(
-        "id", F.explode(F.array(F.concat_ws("#", "word", "band"), F.concat_ws("#", "word", F.col("band") + 1))).alias("w"), "n", "size"
-    )
+    placed = sets.select("id", "n", "size", F.posexplode("prefix").alias("place", "word"), band.alias("band"))
+    both = placed.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    return both.select("id", F.xxhash64("word", "band").alias("w"), "n", "size", (F.col("size") - F.col("place")).alias("left"))
 
 
 def _similar(threshold: float):
@@ -81,44 +102,34 @@ def _similar(threshold: float):
     return near & (common / (F.col("a.size") + F.col("b.size") - common) >= threshold)
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", pair_budget: int = 20, max_rounds: int = 50
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keeper): greedy keep-first near-duplicate removal; keeper is null for kept rows, else the kept row that removed it.
 
     A row goes when an earlier kept row has comparable length and word-set Jaccard of at least the threshold.
 
     Rounds: a row that is the smallest undecided id of all its buckets has no earlier undecided neighbour, so it is kept,
     and everything in those buckets is compared with it alone.  A round therefore makes at most one pair per bucket entry,
-    however large a group of copies is.  Once the undecided buckets hold few pairs (`pair_budget` per row), the remaining
-    pairs are verified once and the same rule runs on the verified pairs.  Both ways are exact.
+    however large a group of copies is.  Rounds go on while each takes a tenth of the entries or more; then the pairs left
+    in the buckets are verified once and the same rule runs on the verified pairs.  Both ways are exact.
     """
     sets = cut_lineage(_rare_first(_word_sets(docs, key, text), threshold))
     index = cut_lineage(_bucketed(sets, threshold))
-    spark = docs.sparkSession
-    decided = spark.createDataFrame([], "id bigint, keeper bigint")
-    undecided = sets.select("id")
-    for round_no in range(max_rounds):
-        sizes = index.groupBy("w").count()
-        load = sizes.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
-        if not load["rows"] or load["pairs"] <= pair_budget * load["rows"]:
-            break
-        leads = index.groupBy("w").agg(F.min("id").alias("lead"))
-        status = index.join(leads, "w").groupBy("id").agg(F.min((F.col("id") == F.col("lead")).cast("int")).alias("first"))
-        kept = cut_lineage(status.filter(F.col("first") == 1).select("id"))
-        tried = (
-            index.join(leads.join(kept, leads["lead"] == kept["id"], "left_semi"), "w")
-            .filter(F.col("id") != F.col("lead")).select("id", "lead").distinct()
-        )
+    decided, entries, before = [], index.count(), math.inf
+    while entries and entries <= 0.9 * before:
+        before = entries
+        leads = index.groupBy("w").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+        led = cut_lineage(index.join(leads, "w", "left").select("id", "w", F.coalesce("lead", "id").alias("lead")))
+        first = led.groupBy("id").agg(F.min((F.col("id") == F.col("lead")).cast("int")).alias("first")).filter("first = 1").select("id")
+        kept = cut_lineage(first)
+        followers = led.filter(F.col("id") != F.col("lead")).select("id", "lead").distinct()
+        tried = followers.join(kept.withColumnRenamed("id", "lead"), "lead", "left_semi").select("id", "lead")
         dropped = cut_lineage(_matches(tried, sets, threshold))
-        decided = cut_lineage(
-            decided.unionByName(kept.withColumn("keeper", F.lit(None).cast("bigint"))).unionByName(dropped)
-        )
-        undecided = cut_lineage(sets.select("id").join(decided, "id", "left_anti"))
-        index = cut_lineage(index.join(undecided, "id", "left_semi"))
-    pairs = _pairs_within(index, sets, threshold)
-    rest = _keep_first(undecided, cut_lineage(pairs))
-    return decided.unionByName(rest).select(F.col("id").alias(key), "keeper")
+        decided += [kept.select("id", F.lit(None).cast("bigint").alias("keeper")), dropped]
+        gone = kept.select("id").unionByName(dropped.select("id"))
+        index = cut_lineage(index.join(gone, "id", "left_anti"))
+        entries = index.count()
+    rest = _keep_first(index.select("id").distinct(), cut_lineage(_pairs_within(index, sets, threshold)))
+    return reduce(DataFrame.unionByName, [*decided, rest]).select(F.col("id").alias(key), "keeper")
 
 
 def _matches(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -129,40 +140,58 @@ def _matches(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _pairs_within(index: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Verified (id, lead) pairs of undecided rows that share a prefix word."""
-    left = index.select("w", F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("size").alias("ls"))
+    """Verified (id, lead) pairs of undecided rows that share a prefix word and can have enough words in common.
+
+    At the first word that two sets share, what they have in common is at most the words that either has left, this one
+    included; a pair that fails there has failed.
+    """
+    earlier = index.select("w", F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("size").alias("ls"), F.col("left").alias("ll"))
     close = (F.abs(F.col("n") - F.col("ln")) <= F.greatest("n", "ln") * (1 - threshold)) & (
         F.least("size", "ls") >= F.greatest("size", "ls") * threshold - 1e-9
     )
-    tried = left.join(index, "w").filter((F.col("lead") < F.col("id")) & close).select("id", "lead").distinct()
+    enough = (1 + threshold) * F.least("left", "ll") >= threshold * (F.col("size") + F.col("ls")) - 1e-9
+    tried = earlier.join(index, "w").filter((F.col("lead") < F.col("id")) & close & enough).select("id", "lead").distinct()
     body = sets.select("id", "n", "size", "words")
     joined = tried.join(body.alias("a"), F.col("a.id") == F.col("lead")).join(body.alias("b"), F.col("b.id") == tried["id"])
     return joined.filter(_similar(threshold)).select(tried["id"].alias("id"), "lead")
 
 
-def _keep_first(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, keeper): ids kept when all their earlier neighbours are dropped, dropped when one is kept; in rounds."""
-    state = cut_lineage(rows.join(pairs.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast("bigint").alias("keeper")))
-    open_pairs = pairs
+def _chains(pairs: DataFrame) -> DataFrame:
+    """(id, root, odd) of the rows with one earlier neighbour: the first row of its chain that has none or several, and whether
+    an odd number of steps leads there.  The known length of a chain doubles in every round."""
+    one = pairs.groupBy("id").agg(F.min("lead").alias("root"), F.count(F.lit(1)).alias("c")).filter("c = 1")
+    chain = cut_lineage(one.select("id", "root", F.lit(True).alias("odd")))
     while True:
-        kept = state.filter(F.col("keeper").isNull()).select(F.col("id").alias("lead"))
-        dropped = open_pairs.join(kept, "lead", "left_semi").groupBy("id").agg(F.min("lead").alias("keeper"))
-        dropped = cut_lineage(dropped)
-        gone = dropped.select("id")
-        left = open_pairs.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "lead"), "lead", "left_anti")
+        step = chain.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("odd").alias("more"))
+        joined = chain.join(step, "root", "left")
+        odd = F.when(F.col("next").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("more"))
+        moved = cut_lineage(joined.select("id", F.coalesce("next", "root").alias("root"), odd.alias("odd"), F.col("next").isNotNull().alias("moved")))
+        chain = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return chain
+
+
+def _keep_first(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, keeper): ids kept when all their earlier neighbours are dropped, dropped when one is kept.
+
+    A round decides the rows without undecided earlier neighbours and, along whole chains of single neighbours, every
+    second row; what a decided row decides goes with it.
+    """
+    keeper = F.lit(None).cast("bigint")
+    kept, open_pairs = [rows.join(pairs.select("id").distinct(), "id", "left_anti").select("id")], pairs
+    while not open_pairs.isEmpty():
+        free = cut_lineage(open_pairs.select(F.col("lead").alias("id")).distinct().join(open_pairs.select("id").distinct(), "id", "left_anti"))
+        chains = _chains(open_pairs).join(free.withColumnRenamed("id", "root"), "root", "left_semi")
+        even = cut_lineage(chains.filter(~F.col("odd")).select("id"))
+        now = free.unionByName(even)
+        gone = cut_lineage(open_pairs.join(now.withColumnRenamed("id", "lead"), "lead", "left_semi").select("id").distinct())
+        left = open_pairs.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "lead"), "lead", "left_anti").join(now, "id", "left_anti")
         waiting = open_pairs.select("id").distinct().join(gone, "id", "left_anti")
-        free = waiting.join(left.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast("bigint").alias("keeper"))
-        state = cut_lineage(state.unionByName(dropped).unionByName(free))
-        open_pairs = cut_lineage(left)
-        if open_pairs.isEmpty():
-            return _first_keepers(state, pairs)
-
-
-def _first_keepers(state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The smallest kept neighbour of every dropped row."""
-    kept = state.filter(F.col("keeper").isNull()).select(F.col("id").alias("lead"))
-    best = pairs.join(kept, "lead", "left_semi").groupBy("id").agg(F.min("lead").alias("k"))
-    return state.join(best, "id", "left").select("id", F.when(F.col("keeper").isNotNull(), F.col("k")).alias("keeper"))
+        open_pairs = cut_lineage(left.join(now.withColumnRenamed("id", "lead"), "lead", "left_anti"))
+        kept += [even, waiting.join(open_pairs.select("id").distinct(), "id", "left_anti").join(even, "id", "left_anti")]
+    stays = cut_lineage(reduce(DataFrame.unionByName, kept).distinct())
+    best = pairs.join(stays.withColumnRenamed("id", "lead"), "lead", "left_semi").groupBy("id").agg(F.min("lead").alias("keeper"))
+    return stays.select("id", keeper.alias("keeper")).unionByName(best.join(stays, "id", "left_anti").select("id", "keeper"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -104,8 +104,40 @@ def greedy(texts, threshold=0.8):
     return {i for i, _, _ in kept}
 
 
-@pytest.mark.parametrize("budget", [20, 0])
-def test_near_duplicates_match_the_loop(spark, budget):
+def test_keep_first_decides_chains_and_webs(spark):
+    """A chain of 200, a star, and random links, against the plain rule."""
+    rng = random.Random(3)
+    pairs = {(i + 1, i) for i in range(200)} | {(i, 300) for i in range(301, 340)}
+    pairs |= {(b, a) for a, b in (sorted(rng.sample(range(400, 500), 2)) for _ in range(150))}
+    ids, keeper = sorted({x for p in pairs for x in p} | {1000}), {}
+    for i in ids:
+        keeper[i] = min((a for b, a in pairs if b == i and keeper[a] is None), default=None)
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = dedup._keep_first(rows, spark.createDataFrame(sorted(pairs), "id bigint, lead bigint"))
+    assert {r["id"]: r["keeper"] for r in got.collect()} == keeper and got.count() == len(ids)
+
+
+def test_near_duplicates_share_a_word_of_every_document(spark):
+    """Every document has the same words in front; each twentieth has a near copy, and those form chains of similar texts."""
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(6)
+    texts = []
+    for i in range(60):
+        own = rng.sample(words, 30)
+        texts += [own] if i % 20 else [own[:at] + [f"x{i}{at}"] + own[at + 1 :] for at in range(12)]
+    rows = [(i, "every one " + " ".join(t)) for i, t in enumerate(texts)]
+    kept, keeper = [], {}
+    for i, t in rows:
+        own = set(t.split())
+        near = [k for k, o, m in kept if abs(m - len(t)) <= max(m, len(t)) * 0.2 and len(own & o) / len(own | o) >= 0.8]
+        keeper[i] = min(near, default=None)
+        if not near:
+            kept.append((i, own, len(t)))
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["keeper"] for r in got.collect()} == keeper and len(kept) < len(rows)
+
+
+def test_near_duplicates_match_the_loop(spark):
     """A third of the rows are copies of one text with small edits; both the rounds and the pairs way must be exact."""
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -120,7 +152,7 @@ def test_near_duplicates_match_the_loop(spark, budget):
             words = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 12))]
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = dedup.near_duplicates(df, pair_budget=budget).filter(F.col("keeper").isNull())
+    got = dedup.near_duplicates(df).filter(F.col("keeper").isNull())
     assert {r["doc_id"] for r in got.collect()} == greedy(texts)
 
 
