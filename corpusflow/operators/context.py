@@ -6,13 +6,18 @@ not: those operators use aggregates that combine before the shuffle instead of s
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
 from corpusflow.functions import folds
 from corpusflow.functions import text as T
-from corpusflow.operators import ranking
+from corpusflow.operators import lexical, ranking
 
 
 def labelled(results: DataFrame, distance: str = "distance", rank: str = "rank") -> DataFrame:
@@ -75,15 +80,15 @@ def context_routes(results: DataFrame, threshold: int = V.LARGE_CONTEXT_CHARS, q
 
 def pack_results(
     results: DataFrame, strategy: str = "relevance", limit: int = V.MAX_CONTEXT_CHUNK, score: str = "score",
-    higher_is_better: bool = True, query_key: str = "query_id", group: str | None = None,
+    higher_is_better: bool = True, query_key: str = "query_id",
 ) -> DataFrame:
     """(query_id, chunk_no, chunk_id, documents, total_length, relevance_score): results packed into context chunks.
 
-    `size` packs in rank order with oversize rows alone, `relevance` packs by score.  `group` packs each topic by itself.
+    `size` packs in rank order with oversize rows alone, `relevance` packs by score; `split_results` knows all strategies.
     """
     if strategy not in ("size", "relevance"):
         raise ValueError(f"unknown packing strategy: {strategy}")
-    keys = [query_key] + ([group] if group else [])
+    keys = [query_key]
     order = F.col("rank") if strategy == "size" else (-F.col(score) if higher_is_better else F.col(score))
     packed = results.groupBy(*keys).agg(
         F.sort_array(
@@ -116,51 +121,127 @@ def pack_results(
     )
 
 
-def topics(docs: DataFrame, k: int, key: str = "doc_id", features: int = 1000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(key, topic) and (topic, term, weight, rank): TF-IDF k-means over all documents and five terms per centre.
+def topic_count(documents: int) -> int:
+    return max(2, min(5, documents // 3))
 
-    The vocabulary is at most `features` terms, so the centres are bounded; documents are never gathered per topic.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, CountVectorizer
-
-    words = docs.select(key, T.tokens(F.col("text")).alias("words"))
-    counter = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=features).fit(words)
-    counted = counter.transform(words)
-    weighted = IDF(inputCol="tf", outputCol="features").fit(counted).transform(counted)
-    model = KMeans(k=k, seed=seed, maxIter=10, predictionCol="topic").fit(weighted)
-    vocabulary, rows = counter.vocabulary, []
-    for topic, centre in enumerate(model.clusterCenters()):
-        best = sorted(range(len(vocabulary)), key=lambda i: (-centre[i], vocabulary[i]))[:5]
-        rows += [(topic, rank + 1, vocabulary[i], float(centre[i])) for rank, i in enumerate(best)]
-    terms = docs.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
-    return model.transform(weighted).select(key, "topic"), terms
 
+def clustered(vectors: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's rounds over a few rows: the cluster of each, and the centres.
 
-def topic_count(documents: int) -> int:
-    return max(2, min(5, documents // 3))
+    Repeatable: the first centres are rows at equal steps, distances count to nine places, ties go to the first cluster, an
+    empty cluster keeps its centre.
+    """
+    centres = vectors[[i * len(vectors) // k for i in range(k)]]
+    labels = np.full(len(vectors), -1)
+    for _ in range(rounds):
+        distances = (vectors * vectors).sum(1)[:, None] + (centres * centres).sum(1) - 2 * vectors @ centres.T
+        now = np.round(distances, 9).argmin(axis=1)
+        if (now == labels).all():
+            break
+        labels = now
+        centres = np.stack([vectors[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)])
+    return labels, centres
+
+
+def _tfidf(histograms: list[dict[str, int]], features: int) -> tuple[list[str], np.ndarray]:
+    """The most frequent terms of a question's results and the results' unit vectors over them."""
+    total, having = Counter(), Counter()
+    for h in histograms:
+        total.update(h)
+        having.update(h.keys())
+    terms = sorted(total, key=lambda t: (-total[t], t))[:features]
+    idf = np.array([math.log((1 + len(histograms)) / (1 + having[t])) + 1 for t in terms])
+    raw = np.array([[h.get(t, 0) for t in terms] for h in histograms], float).reshape(len(histograms), len(terms)) * idf
+    norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    return terms, raw / np.where(norm > 0, norm, 1)
+
+
+def _bins(rows: list[int], sizes: list[int], limit: int, alone: bool) -> list[list[int]]:
+    """Rows in order into bins of at most `limit`; `alone` closes the bin behind a row that is larger than that."""
+    bins: list[list[int]] = []
+    used = 0
+    for i in rows:
+        if not bins or used + sizes[i] > limit or (alone and used > limit):
+            bins.append([])
+            used = 0
+        bins[-1].append(i)
+        used += sizes[i]
+    return bins
+
+
+def _topic_chunks(histograms: list, sizes: list[int], scores: list[float], limit: int, hybrid: bool, features: int) -> list[tuple[str, list[int], list[str]]]:
+    """(name, rows, topic terms) of one question's results, which come in order; `scores` are larger for better ones."""
+    every = list(range(len(sizes)))
+
+    def by_relevance(rows: list[int]) -> list[tuple[str, list[int], list[str]]]:
+        best = sorted(rows, key=lambda i: (-scores[i], i))
+        return [(f"relevance_chunk_{n}", part, []) for n, part in enumerate(_bins(best, sizes, limit, False))]
+
+    if sum(sizes) <= limit:
+        return [("single_chunk", every, [])]
+    if len(sizes) < 3:
+        chunks = by_relevance(every)
+    else:
+        terms, vectors = _tfidf(histograms, features)
+        labels, centres = clustered(vectors, topic_count(len(sizes)))
+        chunks = []
+        for topic in dict.fromkeys(labels.tolist()):
+            rows = [i for i in every if labels[i] == topic]
+            if sum(sizes[i] for i in rows) > limit:
+                parts = enumerate(_bins(rows, sizes, limit, True))
+                chunks += [(f"{'large_doc' if sizes[part[0]] > limit else 'size'}_chunk_{n}", part, []) for n, part in parts]
+            else:
+                best = sorted(range(len(terms)), key=lambda t: (-round(centres[topic][t], 9), terms[t]))[:5]
+                chunks.append((f"topic_chunk_{topic}", rows, [terms[t] for t in best]))
+    if hybrid:
+        chunks = [c for name, rows, words in chunks for c in (by_relevance(rows) if sum(sizes[i] for i in rows) > 0.8 * limit else [(name, rows, words)])]
+    return chunks
 
 
 def pack_by_topic(
-    results: DataFrame, topic_of: DataFrame, limit: int = V.MAX_CONTEXT_CHUNK, score: str = "score", key: str = "doc_id",
-    query_key: str = "query_id", hybrid: bool = False, higher_is_better: bool = True,
+    results: DataFrame, limit: int = V.MAX_CONTEXT_CHUNK, score: str = "score", query_key: str = "query_id", hybrid: bool = False,
+    higher_is_better: bool = True, features: int = 1000,
 ) -> DataFrame:
-    """Results of a query packed per topic; `hybrid` re-packs a topic above 0.8 of the limit by relevance."""
-    with_topic = results.join(topic_of, key)
-    if not hybrid:
-        return pack_results(with_topic, "size", limit, score, higher_is_better, query_key, "topic")
-    total = F.sum(F.length("text")).over(Window.partitionBy(query_key, "topic"))
-    sized = with_topic.withColumn("_t", total)
-    small = pack_results(sized.filter(F.col("_t") <= 0.8 * limit), "size", limit, score, higher_is_better, query_key, "topic")
-    large = pack_results(sized.filter(F.col("_t") > 0.8 * limit), "relevance", limit, score, higher_is_better, query_key, "topic")
-    return small.unionByName(large)
+    """Chunks as pack_results gives them, with `topic_terms`: the results of every question clustered among themselves.
+
+    A question has a cluster for every three results, two to five; fewer than three results are packed by relevance. A
+    cluster above the limit is packed by size; `hybrid` packs every chunk above 0.8 of the limit again, by relevance. All
+    questions are one plan: the results of a question, a bounded list, meet in one task.
+    """
+    terms = lexical.index_terms(F.col("text"))
+    rows = results.select(query_key, "rank", T.run_lengths(terms).alias("h"), F.length("text").alias("n"), F.col(score).cast("double").alias("s"))
+    fields = f"{query_key} bigint, chunk_no int, chunk_id string, documents int, total_length int, relevance_score double, ranks string, topic_terms array<string>"
+
+    def chunk(table: pa.Table) -> pa.Table:
+        found = sorted(table.to_pylist(), key=lambda r: r["rank"])
+        sizes, scores = [r["n"] or 0 for r in found], [r["s"] if higher_is_better else -r["s"] for r in found]
+        histograms = [{t["item"]: t["n"] for t in r["h"] or []} for r in found]
+        out = []
+        for number, (name, held, words) in enumerate(_topic_chunks(histograms, sizes, scores, limit, hybrid, features)):
+            mean = sum(found[i]["s"] for i in held) / len(held)
+            out.append((found[0][query_key], number, name, len(held), sum(sizes[i] for i in held), mean, ",".join(str(found[i]["rank"]) for i in held), words))
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.list_(pa.string())]
+        names = [f.split()[0] for f in fields.split(", ")]
+        return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, zip(*out), kinds)})
+
+    return rows.groupBy(query_key).applyInArrow(chunk, fields).withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+def split_results(results: DataFrame, strategy: str = "relevance", limit: int = V.MAX_CONTEXT_CHUNK, score: str = "score", query_key: str = "query_id", higher_is_better: bool = True) -> DataFrame:
+    """The four strategies with one result: `relevance`, `size`, `topic` and `hybrid`; `topic_terms` is empty for the first two."""
+    if strategy in ("topic", "hybrid"):
+        return pack_by_topic(results, limit, score, query_key, strategy == "hybrid", higher_is_better)
+    return pack_results(results, strategy, limit, score, higher_is_better, query_key).withColumn("topic_terms", F.array().cast("array<string>"))
 
 
 def packing_summary(chunks: DataFrame, query_key: str = "query_id") -> DataFrame:
+    """Counts and sizes of a question's chunks, and their distribution: size, documents, relevance and three topic terms of each."""
+    terms = F.slice("topic_terms", 1, 3) if "topic_terms" in chunks.columns else F.array().cast("array<string>")
+    each = F.struct("chunk_no", F.col("total_length").alias("size"), "documents", F.col("relevance_score").alias("relevance"), terms.alias("topics"))
     return chunks.groupBy(query_key).agg(
         F.count("*").alias("total_chunks"), F.sum("documents").alias("total_documents"), F.sum("total_length").alias("total_length"),
         F.floor(F.avg("total_length")).alias("average_chunk_size"), F.min("total_length").alias("min_chunk_size"),
-        F.max("total_length").alias("max_chunk_size"),
+        F.max("total_length").alias("max_chunk_size"), F.sort_array(F.collect_list(each)).alias("chunk_distribution"),
     )
 
 

@@ -10,7 +10,7 @@ from corpusflow.operators import context, ranking, structure, summary
 from corpusflow.plans import sql as S
 from corpusflow.plans.clean import _KEPT
 from corpusflow.plans.registry import register
-from corpusflow.plans.retrieval import TFIDF, find, passages
+from corpusflow.plans.retrieval import _GRAMS, TFIDF, find, passages
 from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, table, within
 
 
@@ -173,31 +173,86 @@ def packed_by_relevance(spark, sf):
     return context.pack_results(results(spark, sf), "relevance", LIMIT)
 
 
-@register("packing_summary", _packed("rank", "large_doc_chunk_", "size_chunk_", True) + """
-    SELECT query_id, count(*) AS total_chunks, sum(documents)::BIGINT AS total_documents, sum(total_length)::BIGINT AS total_length, floor(avg(total_length))::BIGINT AS average_chunk_size,
-        min(total_length) AS min_chunk_size, max(total_length) AS max_chunk_size FROM packed GROUP BY query_id""")
-def packing_summary(spark, sf):
-    return context.packing_summary(context.pack_results(results(spark, sf), "size", LIMIT))
+TOPIC_LIMIT = 9000
 
 
-def _topics(spark, sf):
-    docs = table(spark, sf, "documents")
-    return context.topics(docs, context.topic_count(docs.count()))
+def _clustered(rounds: int = 10) -> str:
+    """Lloyd's rounds over the results of every question, one pair of steps for each round."""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""
+    a{r + 1} AS MATERIALIZED (SELECT query_id, i, c FROM (SELECT query_id, i, c, row_number() OVER (PARTITION BY query_id, i ORDER BY round(xx + cc - 2 * coalesce(dot, 0), 9), c) AS o
+        FROM (SELECT tr.query_id, tr.i, cl.c, coalesce(xx, 0) AS xx, coalesce(cc, 0) AS cc FROM tr JOIN cl USING (query_id) LEFT JOIN (SELECT query_id, i, sum(w * w) AS xx FROM x GROUP BY ALL) USING (query_id, i)
+            LEFT JOIN (SELECT query_id, c, sum(w * w) AS cc FROM c{r} GROUP BY ALL) USING (query_id, c))
+        LEFT JOIN (SELECT x.query_id, x.i, c, sum(x.w * c{r}.w) AS dot FROM x JOIN c{r} USING (query_id, term) GROUP BY ALL) USING (query_id, i, c)) WHERE o = 1),
+    c{r + 1} AS MATERIALIZED (SELECT query_id, c, term, sum(w) / any_value(members) AS w FROM a{r + 1} JOIN (SELECT query_id, c, count(*) AS members FROM a{r + 1} GROUP BY ALL) USING (query_id, c) JOIN x USING (query_id, i) GROUP BY query_id, c, term
+        UNION ALL SELECT query_id, c, term, w FROM c{r} WHERE (query_id, c) NOT IN (SELECT (query_id, c) FROM a{r + 1}))""")
+    return ",".join(steps)
+
+
+TOPICS = f"""
+    tr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS m, sum(n) OVER (PARTITION BY query_id) AS total
+        FROM (SELECT query_id, rank, score, len(text) AS n, {S.tokens('text')} AS t FROM res)),
+    ks AS (SELECT DISTINCT query_id, m, greatest(2, least(5, m // 3)) AS k FROM tr WHERE total > {TOPIC_LIMIT} AND m >= 3),
+    cl AS (SELECT query_id, c FROM ks, range(5) r(c) WHERE c < k),
+    tp AS MATERIALIZED (SELECT query_id, i, term, count(*) AS tf FROM (SELECT query_id, i, unnest({_GRAMS}) AS term FROM tr SEMI JOIN ks USING (query_id)) GROUP BY ALL),
+    tv AS (SELECT query_id, term, count(*) AS df FROM tp GROUP BY query_id, term QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, term) <= 1000),
+    tw AS (SELECT query_id, i, term, tf * (ln((1.0 + m) / (1.0 + df)) + 1.0) AS w FROM tp JOIN tv USING (query_id, term) JOIN ks USING (query_id)),
+    x AS MATERIALIZED (SELECT query_id, i, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id, i)) AS w FROM tw),
+    c0 AS MATERIALIZED (SELECT query_id, c, term, w FROM cl JOIN ks USING (query_id) JOIN x USING (query_id) WHERE i = (c * m) // k),
+    {_clustered()}"""
 
 
-@register("packed_by_topic")
+def _by_topic(hybrid: bool) -> str:
+    again = f"glen > 0.8 * {TOPIC_LIMIT} AND mode <> 'single'" if hybrid else "false"
+    return f"""
+    WITH RECURSIVE {RES}, {TOPICS},
+    g AS (SELECT tr.query_id, tr.i, rank, score, n, coalesce(c, 0) AS c, CASE WHEN total <= {TOPIC_LIMIT} THEN 'single' WHEN m < 3 THEN 'relevance' ELSE 'topic' END AS kind FROM tr LEFT JOIN a10 USING (query_id, i)),
+    g2 AS (SELECT *, min(i) OVER (PARTITION BY query_id, c) AS first, CASE WHEN kind = 'topic' AND sum(n) OVER (PARTITION BY query_id, c) > {TOPIC_LIMIT} THEN 'size' ELSE kind END AS mode FROM g),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY CASE WHEN mode = 'relevance' THEN -score ELSE 0 END, i) AS j FROM g2),
+    walk AS (SELECT query_id, c, j, 0 AS bin, n AS used FROM o WHERE j = 1
+        UNION ALL SELECT w.query_id, w.c, w.j + 1, CASE WHEN {{opens}} THEN w.bin + 1 ELSE w.bin END, CASE WHEN {{opens}} THEN y.n ELSE w.used + y.n END
+        FROM walk w JOIN o y ON y.query_id = w.query_id AND y.c = w.c AND y.j = w.j + 1),
+    b AS (SELECT o.*, bin, sum(n) OVER (PARTITION BY query_id, c, bin) AS glen, max(n) OVER (PARTITION BY query_id, c, bin) AS most FROM o JOIN walk USING (query_id, c, j)),
+    b2 AS MATERIALIZED (SELECT *, {again} AS again, row_number() OVER (PARTITION BY query_id, c, bin ORDER BY CASE WHEN {again} THEN -score ELSE 0 END, CASE WHEN {again} THEN i ELSE j END) AS j2 FROM b),
+    walk2 AS (SELECT query_id, c, bin, j2, 0 AS bin2, n AS used FROM b2 WHERE j2 = 1
+        UNION ALL SELECT w.query_id, w.c, w.bin, w.j2 + 1, CASE WHEN y.again AND w.used + y.n > {TOPIC_LIMIT} THEN w.bin2 + 1 ELSE w.bin2 END, CASE WHEN y.again AND w.used + y.n > {TOPIC_LIMIT} THEN y.n ELSE w.used + y.n END
+        FROM walk2 w JOIN b2 y ON y.query_id = w.query_id AND y.c = w.c AND y.bin = w.bin AND y.j2 = w.j2 + 1),
+    words AS (SELECT query_id, c, list(term ORDER BY o) AS terms FROM (SELECT query_id, c, term, row_number() OVER (PARTITION BY query_id, c ORDER BY round(w, 9) DESC, term) AS o FROM c10) WHERE o <= 5 GROUP BY ALL),
+    chunks AS (SELECT query_id, c, bin, bin2, any_value(first) AS first, any_value(mode) AS mode, any_value(again) AS again, any_value(most) AS most, count(*)::INT AS documents, sum(n)::INT AS total_length,
+        round(avg(score), 6) AS relevance_score, string_agg(rank::VARCHAR, ',' ORDER BY j2) AS ranks FROM b2 JOIN walk2 USING (query_id, c, bin, j2) GROUP BY query_id, c, bin, bin2),
+    packed AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY first, bin, bin2) - 1)::INT AS chunk_no,
+        CASE WHEN again THEN 'relevance_chunk_' || bin2 WHEN mode = 'single' THEN 'single_chunk' WHEN mode = 'relevance' THEN 'relevance_chunk_' || bin WHEN mode = 'topic' THEN 'topic_chunk_' || c
+            WHEN most > {TOPIC_LIMIT} THEN 'large_doc_chunk_' || bin ELSE 'size_chunk_' || bin END AS chunk_id,
+        documents, total_length, relevance_score, ranks, CASE WHEN mode = 'topic' AND NOT again THEN terms ELSE [] END AS topic_terms
+        FROM chunks LEFT JOIN words USING (query_id, c))""".replace("{opens}", f"(y.mode IN ('size', 'relevance') AND (w.used + y.n > {TOPIC_LIMIT} OR (y.mode = 'size' AND w.used > {TOPIC_LIMIT})))")
+
+
+@register("packed_by_topic", _by_topic(False) + " SELECT * FROM packed")
 def packed_by_topic(spark, sf):
-    return context.pack_by_topic(results(spark, sf), _topics(spark, sf)[0], LIMIT)
+    return context.split_results(results(spark, sf), "topic", TOPIC_LIMIT)
 
 
-@register("packed_hybrid")
+@register("packed_hybrid", _by_topic(True) + " SELECT * FROM packed")
 def packed_hybrid(spark, sf):
-    return context.pack_by_topic(results(spark, sf), _topics(spark, sf)[0], LIMIT, hybrid=True)
+    return context.split_results(results(spark, sf), "hybrid", TOPIC_LIMIT)
+
+
+@register("packing_summary", _by_topic(False) + """
+    SELECT query_id, count(*) AS total_chunks, sum(documents)::BIGINT AS total_documents, sum(total_length)::BIGINT AS total_length, floor(avg(total_length))::BIGINT AS average_chunk_size,
+        min(total_length) AS min_chunk_size, max(total_length) AS max_chunk_size,
+        string_agg(chunk_no || ':' || total_length || ':' || documents || ':' || array_to_string(topic_terms[1:3], '+'), ';' ORDER BY chunk_no) AS distribution FROM packed GROUP BY query_id""")
+def packing_summary(spark, sf):
+    """Counts, sizes, and the distribution of the chunks written out as one text."""
+    each = F.transform("chunk_distribution", lambda c: F.concat_ws(":", c["chunk_no"].cast("string"), c["size"].cast("string"), c["documents"].cast("string"), F.array_join(c["topics"], "+")))
+    return context.packing_summary(packed_by_topic(spark, sf)).withColumn("distribution", F.array_join(each, ";")).drop("chunk_distribution")
 
 
-@register("topic_keywords")
+@register("topic_keywords", _by_topic(False) + " SELECT query_id, chunk_id, unnest(topic_terms) AS term, generate_subscripts(topic_terms, 1)::INT AS rank FROM packed")
 def topic_keywords(spark, sf):
-    return _topics(spark, sf)[1]
+    """The five terms of every topic among a question's results."""
+    rows = packed_by_topic(spark, sf).select("query_id", "chunk_id", F.posexplode("topic_terms").alias("pos", "term"))
+    return rows.select("query_id", "chunk_id", "term", (F.col("pos") + 1).alias("rank"))
 
 
 _OVERLAP = "(len(list_intersect(list_distinct({q}), list_distinct({t}))) / len(list_distinct({q})))"

@@ -304,6 +304,28 @@ def test_packing(spark):
         packed(spark, [1], [1], "other")
 
 
+def test_topic_packing_per_question(spark):
+    """Two subjects apart, oversize topics by size, few results by relevance, small contexts as one chunk."""
+    cats, cars = "cat purr whisker kitten meow", "engine wheel brake gear motor"
+    rows = [(1, i + 1, f"{cats if i % 2 else cars} " * 2 + str(i), 1.0 - i / 10) for i in range(6)]
+    rows += [(2, 1, "a" * 300, 0.2), (2, 2, "b" * 300, 0.9), (3, 1, "short", 0.5), (4, 1, None, 0.5), (4, 2, "", 0.4)]
+    df = spark.createDataFrame(rows, "query_id bigint, rank int, text string, score double")
+    got = {}
+    for r in context.split_results(df, "topic", 200).orderBy("query_id", "chunk_no").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["ranks"], sorted(r["topic_terms"])))
+    assert [(n, r) for n, r, _ in got[1]] == [("topic_chunk_0", "1,3,5"), ("topic_chunk_1", "2,4,6")]
+    assert set(got[1][0][2]) <= {t for a in cars.split() for t in (a, *(f"{a} {b}" for b in cars.split()))} and len(got[1][0][2]) == 5
+    assert got[2] == [("relevance_chunk_0", "2", []), ("relevance_chunk_1", "1", [])] and got[3] == [("single_chunk", "1", [])] and got[4][0][0] == "single_chunk"
+    large = context.split_results(df.filter("query_id = 1"), "topic", 100).orderBy("chunk_no").collect()
+    assert [r["chunk_id"] for r in large] == ["size_chunk_0", "size_chunk_1", "size_chunk_2"] * 2 and all(r["topic_terms"] == [] for r in large)
+    hybrid = context.split_results(df.filter("query_id = 1"), "hybrid", 200).orderBy("chunk_no").collect()
+    assert [r["chunk_id"] for r in hybrid] == ["relevance_chunk_0"] * 2 and [r["ranks"] for r in hybrid] == ["1,3,5", "2,4,6"]
+    summary = context.packing_summary(context.split_results(df, "topic", 200)).filter("query_id = 1").first()
+    assert [len(c["topics"]) for c in summary["chunk_distribution"]] == [3, 3]
+    with pytest.raises(ValueError):
+        context.split_results(df, "other", 10)
+
+
 def test_answer_formatting(spark):
     rows = [(1, "핵심 요약\n하나\n상세 설명\n1. 둘\n참고 자료\n셋"), (2, "첫 문단\n\n둘째 문단"), (3, "오류가 났습니다.")]
     df = spark.createDataFrame(rows, "query_id bigint, text string")
