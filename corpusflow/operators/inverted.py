@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusflow import fixed_values as V
 from corpusflow.functions import text as T
 from corpusflow.operators import lexical, scoring
-from corpusflow.session import MAX_BROADCAST_ROWS, checkpoint_dir, cut_lineage, within
+from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, derived, within
 
 BLOCK = 1024  # documents whose postings of a term are one row
 BUCKETS = 16
@@ -194,22 +194,13 @@ def _version(spark: SparkSession, path: str) -> int:
 
 
 def stored(table: DataFrame, docs: DataFrame, key: str = "doc_id") -> str:
-    """The folder of the index of a table's files, in the checkpoint folder; it is built from `docs` if the files are not indexed yet.
+    """The folder of the index of a table's files, in the checkpoint folder; it is built from `docs` if the files are not indexed yet."""
 
-    An index is named by its files' paths, sizes and times, so that a changed table has another.
-    """
-    spark = docs.sparkSession
-    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    name = files.agg(F.coalesce(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).first()[0]
-    path = f"{checkpoint_dir(spark)}/index{name}"
-    try:
-        return spark.read.parquet(f"{path}/ready").first()["path"]
-    except AnalysisException:  # none, or one whose writing broke off
-        path = f"{path}/{uuid.uuid4().hex}"
-    add(docs, path, key)
-    refresh(spark, path)
-    spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint_dir(spark)}/index{name}/ready")
-    return path
+    def build(path: str) -> None:
+        add(docs, path, key)
+        refresh(docs.sparkSession, path)
+
+    return derived(table, "index", build)
 
 
 # --- searching ----------------------------------------------------------------------------------------------------------------

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from corpusflow import fixed_values as V
 from corpusflow.functions import text as T
 from corpusflow.operators import scoring
+from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, within
 
 
 def vector_top_k(
@@ -56,8 +61,9 @@ def mmr(
     The 2k candidates per query bound every group that reaches Python.
     """
     weight = 1.0 - diversity
-    near = vector_top_k(vectors, queries, 2 * k, key, column, query_key, query_column)
-    full = near.join(vectors.select(key, F.col(column).alias("_v")), key).join(
+    near = cut_lineage(vector_top_k(vectors, queries, 2 * k, key, column, query_key, query_column))
+    few = F.broadcast(near) if within(near, MAX_BROADCAST_ROWS) else near  # counted: then the vectors stay where they are
+    full = few.join(vectors.select(key, F.col(column).alias("_v")), key).join(
         queries.select(query_key, F.col(query_column).alias("_q")), query_key
     )
 
@@ -93,32 +99,70 @@ def assign_cells(
     return model.transform(dense).drop("_f"), np.stack(model.clusterCenters())
 
 
+def nearest_cells(vectors: DataFrame, centres: np.ndarray, cells: int, column: str = "embedding", name: str = "cells") -> DataFrame:
+    """Adds the ids of the `cells` nearest centres, nearest first; distances count to nine places, ties go to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)).astype("float64")
+            d = (x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T
+            near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :cells].astype(np.int32)
+            offsets = pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))], names=[*batch.schema.names, name])
+
+    kinds = StructType([*vectors.schema.fields, StructField(name, ArrayType(IntegerType()))])
+    return vectors.mapInArrow(run, kinds)
+
+
+def store_cells(vectors: DataFrame, centres: np.ndarray, path: str, column: str = "embedding", files: int = 4) -> None:
+    """Writes the vectors partitioned by the cell of their nearest centre, each cell in a few files."""
+    celled = nearest_cells(vectors, centres, 1, column).withColumn("cell_id", F.get("cells", F.lit(0))).drop("cells")
+    spread = F.pmod(F.xxhash64(F.to_json(F.struct(*[c for c in vectors.columns if c != column]))), F.lit(files))
+    celled.repartition(len(centres) * files, "cell_id", spread).write.partitionBy("cell_id").parquet(path)
+
+
 def cell_top_k(
     celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = V.TOP_K, probes: int = 4, key: str = "vec_id",
     column: str = "embedding", query_key: str = "query_id", query_column: str = "qvec",
 ) -> DataFrame:
     """Approximate top-k: a query looks only into its nearest cells.  Exact when every cell is probed.
 
-    Stored as a table partitioned by cell_id, the cells no query probes are pruned at the scan.
+    Queries and vectors meet by cell, and nothing else is multiplied.  Of a table that `store_cells` wrote, cells that no
+    query probes are not read.  Cells are cut into blocks of rows and queries into blocks of queries, so that neither a
+    large cell nor a cell that most queries probe is one task.
     """
-    wanted = queries.select(F.col(query_key).alias("query_id"), F.col(query_column).alias("vector"))
-
-    def nearest(vectors: pd.DataFrame) -> np.ndarray:
-        d = scoring.squared_distance(vectors, pd.DataFrame({"vector": list(centres)}))
-        return np.argsort(d, axis=1, kind="stable")[:, :probes]
-
-    def kernel(rows: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
-        scores = scoring.squared_distance(rows, block)
-        probed = np.zeros((len(block), len(centres)), dtype=bool)
-        np.put_along_axis(probed, nearest(block), True, axis=1)
-        scores[~probed[:, rows["cell_id"].to_numpy()].T] = np.nan
-        return scores
-
-    rows = celled.select(F.col(key).alias("id"), F.col(column).alias("vector"), "cell_id")
-    top = scoring.top_k(rows, wanted, kernel, k, largest=False)
-    return top.select(
-        F.col("query_id").alias(query_key), "rank", F.col("id").alias(key), F.col("score").alias("distance")
-    )
+    asked = nearest_cells(queries.select(F.col(query_key).alias("query_id"), F.col(query_column).alias("vector")), centres, probes, "vector")
+    asked = cut_lineage(asked.withColumn("cell_id", F.explode("cells")).drop("cells"))
+    probed = [r["cell_id"] for r in asked.select("cell_id").distinct().collect()]  # at most one for each centre
+    rows = celled.filter(F.col("cell_id").isin(probed)).select(F.col(key).alias("id"), F.col(column).alias("vector"), "cell_id")
+    sizes = rows.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / scoring.ROWS_PER_BLOCK).alias("row_blocks"))
+    sizes = asked.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / scoring.QUERIES_PER_BLOCK).alias("query_blocks")).join(sizes, "cell_id")
+    sizes = F.broadcast(cut_lineage(sizes))  # at most one row for each centre
+
+    def blocks(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        own_block = F.pmod(F.xxhash64(name), F.col(f"{own}_blocks")).alias(f"{own}_block")
+        other_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        return side.join(sizes, "cell_id").select("cell_id", name, "vector", own_block, other_block)
+
+    def block(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        best: list = [[] for _ in range(len(wanted))]
+        if len(part) and len(wanted):
+            scoring._score(part, wanted, scoring.squared_distance, best, k, False)
+        return scoring._best_rows(best, wanted["query_id"].to_numpy() if len(wanted) else np.array([], "int64"), False)
+
+    keys = ["cell_id", "row_block", "query_block"]
+    found = blocks(rows, "id", "row", "query").groupBy(*keys).cogroup(blocks(asked, "query_id", "query", "row").groupBy(*keys)).applyInPandas(block, scoring.RESULT)
+    order = Window.partitionBy("query_id").orderBy("score", "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").alias(query_key), "rank", F.col("id").alias(key), F.col("score").alias("distance"))
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
+    """(query_id, hits, recall): how many of the exact results of each question were found."""
+    joined = exact.select(query_key, key).join(found.select(query_key, key, F.lit(1).alias("hit")), [query_key, key], "left")
+    return joined.groupBy(query_key).agg(F.count("hit").alias("hits"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 
 
 def centroids(vectors: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:

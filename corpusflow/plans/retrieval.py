@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
 from corpusflow.operators import inverted, ranking, vector
 from corpusflow.plans import sql as S
 from corpusflow.plans.registry import register
-from corpusflow.session import table
+from corpusflow.session import derived, table
 
 K = V.TOP_K
 
@@ -200,25 +201,62 @@ for _name, _t in (("adaptive_threshold_default", 1.5), ("adaptive_threshold_rela
     )
 
 
-@register("mmr_ranked")
+def _mmr(k: int = K, weight: float = 1 - V.MMR_DIVERSITY) -> str:
+    """Greedy choice among 2 k candidates, one step for each rank."""
+    pick = "row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, rank) = 1"
+    steps = [f"""m1 AS MATERIALIZED (SELECT query_id, vec_id, distance, 1 AS place FROM (SELECT *, rel AS gain FROM cand) QUALIFY {pick})"""]
+    for j in range(2, k + 1):
+        steps.append(f"""m{j} AS MATERIALIZED (SELECT query_id, vec_id, distance, place FROM m{j - 1} UNION ALL SELECT query_id, vec_id, distance, {j} FROM (
+        SELECT c.query_id, c.vec_id, c.distance, c.rank, {weight} * any_value(c.rel) - (1 - {weight}) * max(sims.s) AS gain FROM cand c JOIN m{j - 1} m ON m.query_id = c.query_id
+            JOIN sims ON sims.query_id = c.query_id AND sims.a = c.vec_id AND sims.b = m.vec_id
+        WHERE (c.query_id, c.vec_id) NOT IN (SELECT (query_id, vec_id) FROM m{j - 1}) GROUP BY c.query_id, c.vec_id, c.distance, c.rank) QUALIFY {pick})""")
+    return f"""
+    cand AS MATERIALIZED (SELECT near.query_id, near.rank, near.vec_id, near.distance, v / 1 AS v, list_cosine_similarity(v, qvec) AS rel FROM near JOIN vecs USING (vec_id) JOIN pvecs USING (query_id)),
+    sims AS MATERIALIZED (SELECT x.query_id, x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS s FROM cand x JOIN cand y USING (query_id)),
+    {", ".join(steps)}, mmr AS (SELECT query_id, place AS rank, vec_id, distance FROM m{k})""".replace("v / 1 AS v", "v")
+
+
+@register("mmr_ranked", f"""WITH {VECTORS}, {PASSAGE_VECTORS}, {nearest('near', 'pvecs', 'vecs', 'vec_id', 2 * K)}, {_mmr()}
+    {threshold('mmr', V.DISTANCE_THRESHOLD, 'query_id, rank, vec_id, distance')}""")
 def mmr_ranked(spark, sf):
+    return vector.adaptive_threshold(vector.mmr(table(spark, sf, "embeddings"), passage_vectors(spark, sf)))
+
+
+def stored_cells(spark, sf):
+    """(vectors stored by cell, centres): a cell for every label, around the mean of its vectors."""
     vectors = table(spark, sf, "embeddings")
-    return vector.adaptive_threshold(vector.mmr(vectors, vector.centroids(vectors)))
+    centres = np.array([r["qvec"] for r in vector.centroids(vectors).orderBy("query_id").collect()])  # one for each label
+    path = derived(spark.read.parquet(f"{sf}/embeddings.parquet"), "cells", lambda to: vector.store_cells(vectors, centres, to))
+    return spark.read.parquet(path), centres
+
 
+PROBES = 3
+CELLS = f"""{CENTROIDS}, {PASSAGE_VECTORS},
+    numbered AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS cell, qvec AS c FROM centres),
+    celled AS (SELECT vec_id, v, arg_min(cell, (d, cell)) AS cell FROM (SELECT vec_id, v, cell, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), 9) AS d FROM vecs, numbered) GROUP BY vec_id, v),
+    probed AS (SELECT query_id, qvec, cell FROM (SELECT query_id, qvec, cell, row_number() OVER (PARTITION BY query_id ORDER BY round(list_sum(list_transform(range(1, len(qvec) + 1), lambda i: (qvec[i] - c[i]) * (qvec[i] - c[i]))), 9), cell) AS o FROM pvecs, numbered) WHERE o <= {PROBES}),
+    {nearest('cut', 'probed JOIN celled USING (cell)', '(SELECT 1)', 'vec_id')}"""
 
-@register("cell_pruned_ranked")
+
+@register("cell_pruned_ranked", f"WITH {CELLS} SELECT query_id, rank, vec_id, distance FROM cut")
 def cell_pruned_ranked(spark, sf):
-    vectors = table(spark, sf, "embeddings")
-    celled, centres = vector.assign_cells(vectors)
-    return vector.cell_top_k(celled, centres, vector.centroids(vectors))
+    celled, centres = stored_cells(spark, sf)
+    return vector.cell_top_k(celled, centres, passage_vectors(spark, sf), probes=PROBES)
 
 
-@register("cell_pruned_all_cells", f"WITH {CENTROIDS}, {nearest('near', 'centres', 'vecs', 'vec_id')} SELECT query_id, rank, vec_id, distance FROM near")
+@register("cell_pruned_all_cells", f"WITH {VECTORS}, {PASSAGE_VECTORS}, {nearest('near', 'pvecs', 'vecs', 'vec_id')} SELECT query_id, rank, vec_id, distance FROM near")
 def cell_pruned_all_cells(spark, sf):
     """With every cell probed the pruned search must equal the exact one."""
-    vectors = table(spark, sf, "embeddings")
-    celled, centres = vector.assign_cells(vectors)
-    return vector.cell_top_k(celled, centres, vector.centroids(vectors), probes=len(centres))
+    celled, centres = stored_cells(spark, sf)
+    return vector.cell_top_k(celled, centres, passage_vectors(spark, sf), probes=len(centres))
+
+
+@register("cell_pruned_recall", f"""WITH {CELLS}, {nearest('near', 'pvecs', 'vecs', 'vec_id')}
+    SELECT near.query_id, count(cut.vec_id) AS hits, round(count(cut.vec_id) / count(*), 6) AS recall FROM near LEFT JOIN cut USING (query_id, vec_id) GROUP BY near.query_id""")
+def cell_pruned_recall(spark, sf):
+    """How much of the exact answer the probed cells hold."""
+    exact = vector.vector_top_k(table(spark, sf, "embeddings"), passage_vectors(spark, sf))
+    return vector.recall(cell_pruned_ranked(spark, sf), exact)
 
 
 @register("normalized_scores", f"""

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A side may be broadcast or collected only when a counted check proves it within these bounds.
 MAX_BROADCAST_ROWS = 200_000
@@ -51,6 +54,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def derived(table: DataFrame, kind: str, build: Callable[[str], None]) -> str:
+    """The folder of what `build` writes from a table's files, in the checkpoint folder; built if those files have none yet.
+
+    It is named by the files' paths, sizes and times, so that a changed table has another, and counts only when it is whole.
+    """
+    spark = table.sparkSession
+    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    name = files.agg(F.coalesce(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).first()[0]
+    folder = f"{checkpoint_dir(spark)}/{kind}{name}"
+    try:
+        return spark.read.parquet(f"{folder}/ready").first()["path"]
+    except AnalysisException:  # none, or one whose writing broke off
+        path = f"{folder}/{uuid.uuid4().hex}"
+    build(path)
+    spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/ready")
+    return path
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """True when df has at most `rows` rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows

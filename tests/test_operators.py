@@ -251,6 +251,25 @@ def test_cell_recall_grows(spark, small):
     assert recall[0] <= recall[1] <= recall[2] == len(exact)
 
 
+def test_cells_are_pruned_and_split(spark, small, monkeypatch, tmp_path):
+    """One question reads the files of its cells alone; small blocks of rows and questions give the same rows."""
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet")
+    queries = vectors.filter("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    centres = np.array([r["qvec"] for r in vector.centroids(vectors).orderBy("query_id").collect()])
+    vector.store_cells(vectors, centres, str(tmp_path / "cells"))
+    celled = spark.read.parquet(str(tmp_path / "cells"))
+    assert celled.count() == vectors.count()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(vector.cell_top_k(celled, centres, queries, 5, 2))
+    monkeypatch.setattr(scoring, "ROWS_PER_BLOCK", 7)
+    monkeypatch.setattr(scoring, "QUERIES_PER_BLOCK", 4)
+    assert rows(vector.cell_top_k(celled, centres, queries, 5, 2)) == whole
+    plan = vector.cell_top_k(celled, centres, queries.limit(1), 5, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell_id" in plan
+    found = vector.recall(vector.cell_top_k(celled, centres, queries, 5, len(centres)), vector.vector_top_k(vectors, queries, 5))
+    assert {r["recall"] for r in found.collect()} == {1.0}
+
+
 def test_scores(spark):
     row = spark.range(1).select(
         ranking.relevance(F.lit(0.0)).alias("a"), ranking.relevance(F.lit(2.0)).alias("b"),
