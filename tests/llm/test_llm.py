@@ -406,7 +406,7 @@ def variants(seed, base, n):
     return out
 
 
-@pytest.mark.parametrize("rounds, block", [(8, 512), (1, 3)])
+@pytest.mark.parametrize("rounds, block", [(3, 512), (1, 3)])
 def test_near_copies(spark, monkeypatch, rounds, block):
     rows = [r for r in ROWS if r[0] is not None]
     texts = variants(1, phrase(120, 7), 24) + variants(2, phrase(60, 8), 14) + [phrase(50, 9) + " " + phrase(20, 100 + i) for i in range(8)] + [phrase(3, 11)] * 5 + variants(3, phrase(7, 12), 6)
