@@ -26,6 +26,13 @@ def main() -> None:
     # start the Python workers and the code generator before the clock
     spark.range(100).mapInPandas(lambda batches: batches, "id bigint").count()
     queries, seconds = plans.queries(), {}
+    if not sys.argv[1:]:
+        # the stored index that the lexical queries read is built once, and counts as a query of its own
+        from corpusflow.plans import retrieval
+
+        start = time.time()
+        retrieval.index(spark, folder)
+        seconds["stored_index_built"] = round(time.time() - start, 3)
     for name in sys.argv[1:] or HEADLINE:
         start = time.time()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
