@@ -139,7 +139,8 @@ def best_relevant_rank(results: DataFrame, golden: DataFrame, source: str, query
 
     `golden` has an `expected` array per query; the join is by query, so only retrieved rows are tested.
     """
-    tested = results.join(golden, query_key).filter(F.exists("expected", lambda e: F.col(source).contains(e)))
+    wanted = golden.select(query_key, F.explode("expected").alias("_e"))
+    tested = results.join(wanted, query_key).filter(F.col(source).contains(F.col("_e")))
     ranks = tested.groupBy(query_key).agg(F.min("rank").alias("best_rank"))
     return golden.select(query_key).join(ranks, query_key, "left")
 

@@ -9,7 +9,7 @@ from corpusflow import fixed_values as V
 from corpusflow.operators import inverted, ranking, vector
 from corpusflow.plans import sql as S
 from corpusflow.plans.registry import register
-from corpusflow.session import derived, table
+from corpusflow.session import cut_lineage, derived, table
 
 K = V.TOP_K
 
@@ -176,7 +176,7 @@ def best_relevant_ranks(spark, sf):
 
 def _best_ranks(spark, sf):
     docs, asked = table(spark, sf, "documents"), passages(spark, sf)
-    found = find(spark, sf)(asked, K)
+    found = cut_lineage(find(spark, sf)(asked, K))
     golden = asked.select("query_id", F.array("text").alias("expected"))
     return ranking.best_relevant_rank(found.join(docs.select("doc_id", "text"), "doc_id"), golden, "text")
 
