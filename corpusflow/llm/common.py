@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def returning_memory(run: Callable) -> Callable:
+    """A function of Arrow batches whose Python worker gives freed memory back at its end; workers stay and wait for other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Yields keep(df): df written as Parquet in the shared checkpoint folder and read back; all is removed at the end.

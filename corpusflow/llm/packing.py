@@ -18,27 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_of
+from corpusflow.llm.common import returning_memory, text_of
 from corpusflow.session import cut_lineage
 
 CAPACITY = 2048
 END_ID = 0
-ENCODER: dict[str, object] = {}  # one per Python worker
 
 
 def ranks_tokenizer(path: str) -> Callable[[str], list[int]]:
     """Encoder of a byte-level vocabulary in rank form; gives the same ids as the same vocabulary's JSON form.
 
-    Special tokens in a text are ordinary text. Loaded once per Python worker.
+    Special tokens in a text are ordinary text. Loaded for each task and not kept: a waiting worker would hold it.
     """
-    if path not in ENCODER:
-        import public_tokenizers
-        import tiktoken
+    import public_tokenizers
+    import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        ENCODER[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return ENCODER[path].encode_ordinary
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -72,7 +69,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])], names=names)
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(text).alias("body")).mapInArrow(encode, f"doc_id bigint, {fields}")
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(text).alias("body")).mapInArrow(returning_memory(encode), f"doc_id bigint, {fields}")
 
 
 # --- the plan ----------------------------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import remainder, text_of
+from corpusflow.llm.common import remainder, returning_memory, text_of
 from corpusflow.llm.shingles import BYTES_AT_ONCE, word_hashes
 
 PASSAGE = 512  # bytes
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["key", "label", "bag"])
 
     sample = docs.select(F.col(key).alias("key"), text_of(text).alias("body")).join(F.broadcast(chosen), "key")
-    made = sample.select("key", "label", "body").mapInArrow(encode, f"key {dict(docs.dtypes)[key]}, label int, bag binary")
+    made = sample.select("key", "label", "body").mapInArrow(returning_memory(encode), f"key {dict(docs.dtypes)[key]}, label int, bag binary")
     bags, marks, total = [], [], 0
     for row in made.filter(F.col("bag").isNotNull()).orderBy(F.xxhash64("key"), "key", "bag").limit(documents).toLocalIterator():
         bag = np.frombuffer(row["bag"], "<f4").reshape(-1, FEATURES)
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Attention, key: str = "doc_id", text: str = "t
             scores = [model.score(x, first) for x, first in passages(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("body")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, score double")
+    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("body")).mapInArrow(returning_memory(run), f"doc_id {dict(docs.dtypes)[key]}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3, **options) -> DataFrame:
@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
             scores = [model.score(x, first) for x, first in passages(bodies)]
             yield batch.filter(pa.array(np.concatenate(scores) >= threshold if scores else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning_memory(run), docs.schema)
