@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
@@ -115,6 +115,36 @@ def format_page_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return built.select(key, T.strip(T.sub(F.col("out"), r"\n\s*\n\s*\n+", "\n\n")).alias("out"))
 
 
+def place_images(docs: DataFrame, images: DataFrame, key: str = "doc_id", text: str = "text", start: str = "<!-- 페이지 ", end: str = " 시작 -->") -> DataFrame:
+    """(key, out): the page markers of a text replaced by the images of their pages; images that are left under a heading.
+
+    `images` has (key, page, seq, reference). They are taken in the order of pages: a marker of a page with n images takes
+    the next n. Text lines and images are two ordered streams that meet by position; every line and image moves once.
+    """
+    lines = docs.filter(T.strip(F.col(text)) != "").select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = lines.select(key, "pos", T.strip(F.col("line")).alias("line"))
+    marked = F.col("line").startswith(start) & F.col("line").endswith(end)
+    number = F.when(marked, F.expr("try_cast(regexp_extract(line, '페이지 ([0-9]+)', 1) as int)"))
+    counts = images.groupBy(key, "page").agg(F.count(F.lit(1)).alias("n"))
+    spots = lines.withColumn("page", number).filter("page is not null").join(counts, [key, "page"])
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # markers of one text
+    spots = spots.withColumn("first", F.coalesce(before, F.lit(0))).select(key, "pos", F.explode(F.expr("sequence(first, first + n - 1)")).alias("no"))
+    order = Window.partitionBy(key).orderBy("page", "seq")  # images of one text
+    placed = images.withColumn("no", F.row_number().over(order) - 1).join(spots, [key, "no"], "left").join(lines.select(key).distinct(), key, "left_semi")
+    inside = F.col("pos").isNotNull()
+    shown = placed.select(key, F.struct(F.coalesce("pos", F.lit(2**31 - 1)).alias("pos"), F.when(inside, 1).otherwise(3).alias("kind"), F.col("no").cast("long").alias("no")).alias("at"),
+                          F.when(inside, F.concat(F.lit("\n"), "reference", F.lit("\n"))).otherwise(F.col("reference")).alias("v"))
+    heading = placed.filter(~inside).select(key).distinct()
+    titled = heading.select(key, F.struct(F.lit(2**31 - 1).alias("pos"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("no")).alias("at"), F.lit("\n\n## 추가 이미지\n").alias("v"))
+    kept = lines.filter(~marked).select(key, F.struct("pos", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("no")).alias("at"), F.col("line").alias("v"))
+    return ordered_text(kept.unionByName(shown).unionByName(titled), [key], "at", F.col("v"), "\n", "out")
+
+
+def format_page_text_with_images(docs: DataFrame, images: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The text with its images in place, then formatted as `format_page_text` does."""
+    return format_page_text(place_images(docs, images, key, text), key, "out")
+
+
 def titled_paragraphs(text: Column, separator: str = "\n\n") -> Column:
     """Paragraphs whose first line is a title get that many `#`."""
     parts = F.filter(F.split(text, java(separator)), lambda p: T.strip(p) != "")
@@ -363,8 +393,6 @@ def format_answers(answers: DataFrame, references: DataFrame | None = None, key:
 
 def first_images(references: DataFrame, key: str = "doc_id", limit: int = 4) -> DataFrame:
     """(key, path, rank): distinct paths in first-seen order, at most `limit` per response (a display limit)."""
-    from pyspark.sql import Window
-
     first = references.groupBy(key, "path").agg(F.min("seq").alias("seq"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("seq", "path")))
     return ranked.filter(F.col("rank") <= limit).select(key, "path", "rank")

@@ -313,6 +313,42 @@ def page_image_blocks(spark, sf):
     return structure.image_blocks(layout_pages(spark, sf), image_rows(spark, sf))
 
 
+IMAGES_PLACED = f"""{IMAGES},
+    mt AS (SELECT doc_id, string_agg(CASE WHEN page % 3 = 0 THEN text ELSE '<!-- 페이지 ' || page || ' 시작 -->' || chr(10) || text END, chr(10) ORDER BY page) AS text FROM pg GROUP BY doc_id),
+    il AS MATERIALIZED (SELECT doc_id, i, {S.strip('l[i]')} AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM mt WHERE {S.strip('text')} <> ''), range(1, len(l) + 1) r(i)),
+    im AS (SELECT *, starts_with(line, '<!-- 페이지 ') AND ends_with(line, ' 시작 -->') AS marked FROM il),
+    ic AS (SELECT doc_id, page, count(*) AS n FROM img GROUP BY ALL),
+    sp AS (SELECT doc_id, i, n, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+        FROM (SELECT *, regexp_extract(line, '페이지 ([0-9]+)', 1)::INT AS page FROM im WHERE marked) JOIN ic USING (doc_id, page)),
+    pl2 AS (SELECT doc_id, i, first + k AS no FROM sp, range(100000) r(k) WHERE k < n),
+    pi AS (SELECT * FROM (SELECT doc_id, '![이미지](' || path || ')' AS ref, row_number() OVER (PARTITION BY doc_id ORDER BY page, seq) - 1 AS no FROM img) LEFT JOIN pl2 USING (doc_id, no) WHERE doc_id IN (SELECT doc_id FROM il)),
+    every AS (SELECT doc_id, i, 0 AS kind, 0 AS no, line AS v FROM im WHERE NOT marked UNION ALL SELECT doc_id, coalesce(i, 1000000000), CASE WHEN i IS NULL THEN 3 ELSE 1 END, no, CASE WHEN i IS NULL THEN ref ELSE chr(10) || ref || chr(10) END FROM pi
+        UNION ALL SELECT DISTINCT doc_id, 1000000000, 2, 0, chr(10) || chr(10) || '## 추가 이미지' || chr(10) FROM pi WHERE i IS NULL),
+    ip AS (SELECT doc_id, string_agg(v, chr(10) ORDER BY i, kind, no) AS text FROM every GROUP BY doc_id)"""
+
+
+def marked_texts(spark, sf):
+    """Pages under markers; every third page has none, so that its images are left over."""
+    line = F.when(F.col("page") % 3 == 0, F.col("text")).otherwise(F.concat(F.format_string("<!-- 페이지 %d 시작 -->\n", "page"), "text"))
+    return structure.ordered_text(layout_pages(spark, sf), ["doc_id"], "page", line, "\n", "text")
+
+
+def references(spark, sf):
+    return image_rows(spark, sf).select("doc_id", "page", "seq", F.format_string("![이미지](%s)", "path").alias("reference"))
+
+
+@register("images_placed", f"WITH {IMAGES_PLACED} SELECT doc_id, text AS out FROM ip")
+def images_placed(spark, sf):
+    return structure.place_images(marked_texts(spark, sf), references(spark, sf))
+
+
+@register("page_text_with_images", f"""
+    WITH src AS (WITH {IMAGES_PLACED} SELECT doc_id, text FROM ip), noise AS (SELECT doc_id, {S.chain('text', *_NOISE)} AS text FROM src), {_paragraphs('noise', 'doc_id')}
+    SELECT doc_id, {S.strip(S.sub('out', r'\n\s*\n\s*\n+', chr(10) * 2))} AS out FROM para""")
+def page_text_with_images(spark, sf):
+    return structure.format_page_text_with_images(marked_texts(spark, sf), references(spark, sf))
+
+
 @register("images_kept", f"""
     WITH {IMAGES} SELECT count(*) AS found, count(*) FILTER (kept) AS kept, count(*) FILTER (description IS NOT NULL) AS with_text
     FROM (SELECT *, width >= 50 AND height >= 50 AND relevance >= 0.6 AS kept FROM img)""")

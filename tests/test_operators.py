@@ -323,6 +323,16 @@ def test_packing(spark):
         packed(spark, [1], [1], "other")
 
 
+def test_images_in_place(spark):
+    """Images at the markers of their pages, in their order; what is left over under a heading; texts without images as they are."""
+    rows = [(1, "<!-- 페이지 1 시작 -->\n one \n<!-- 페이지 2 시작 -->\n\ntwo\n<!-- 페이지 x 시작 -->"), (2, "plain\n<!-- 페이지 7 시작 -->\ntext"), (3, None), (4, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    images = spark.createDataFrame([(1, 1, 0, "![a]"), (1, 2, 1, "![c]"), (1, 2, 0, "![b]"), (1, 3, 0, "![d]"), (3, 1, 0, "![e]")], "doc_id bigint, page int, seq int, reference string")
+    got = {r["doc_id"]: r["out"] for r in structure.place_images(docs, images).collect()}
+    assert got == {1: "\n![a]\n\none\n\n![b]\n\n\n![c]\n\n\ntwo\n\n\n## 추가 이미지\n\n![d]", 2: "plain\ntext"}
+    assert structure.place_images(docs.limit(0), images).count() == 0
+
+
 def test_topic_packing_per_question(spark):
     """Two subjects apart, oversize topics by size, few results by relevance, small contexts as one chunk."""
     cats, cars = "cat purr whisker kitten meow", "engine wheel brake gear motor"
