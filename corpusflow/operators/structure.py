@@ -162,11 +162,15 @@ def structured_text(text: Column, separator: str = "\n\n") -> Column:
     return T.collapse_blank_lines(titled_paragraphs(T.fix_headings(text), separator))
 
 
+PAGES_AT_ONCE = 64
+
+
 def join_pages(pages: Column, max_lines: int = V.MAX_CARRIED_LINES) -> Column:
     """Sentences cut at a page end finished with up to three lines of the next page; the number of pages stays.
 
     A fold over the pages of one row: the state is the finished pages and the page being completed, and a page is
-    examined only after it has given its first lines away.
+    examined only after it has given its first lines away.  Finished pages are kept in parts of PAGES_AT_ONCE, so that a
+    page copies the few of its own part and not all before it.
     """
     trimmed = F.transform(pages, lambda p: T.sub(T.sub(p, r"^\n+"), r"\s+$"))
 
@@ -198,19 +202,21 @@ def join_pages(pages: Column, max_lines: int = V.MAX_CARRIED_LINES) -> Column:
     def step(acc: Column, page: Column) -> Column:
         state = F.struct(acc["cur"].alias("cur"), page.alias("nxt"), F.lit(True).alias("open"))
         done = F.aggregate(F.sequence(F.lit(1), F.lit(max_lines)), state, lambda s, _: carry(s))
+        full = F.size(acc["part"]) >= PAGES_AT_ONCE
         return T.let(
             done,
             lambda s: F.struct(
-                F.concat(acc["out"], F.array(s["cur"])).alias("out"),
+                F.when(full, F.concat(acc["out"], F.array(acc["part"]))).otherwise(acc["out"]).alias("out"),
+                F.when(full, F.array(s["cur"])).otherwise(F.concat(acc["part"], F.array(s["cur"]))).alias("part"),
                 T.sub(F.coalesce(s["nxt"], F.lit("")), r"^\n+|\n+$").alias("cur"),
             ),
         )
 
     def joined(ps: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.get(ps, F.lit(0)).alias("cur"))
+        start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("part"), F.get(ps, F.lit(0)).alias("cur"))
         return F.aggregate(
             F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0))), start, step,
-            lambda acc: F.concat(acc["out"], F.array(acc["cur"])),
+            lambda acc: F.concat(F.flatten(acc["out"]), acc["part"], F.array(acc["cur"])),
         )
 
     return F.when(F.size(pages) == 0, pages).otherwise(T.let(trimmed, joined))

@@ -58,6 +58,17 @@ def test_at_most_three_lines_are_carried(spark):
     assert "네번째 토층" in pages[1]
 
 
+def test_many_pages_are_joined_in_parts(spark, monkeypatch):
+    """Sentences cut at every page end: the size of the parts that finished pages are kept in does not matter."""
+    pages = [f"{i}번째 문장의 끝이다.\n이 장에서는 기능 개선 및 추가" if i % 3 else f"도입의 필요성이 제기되었다.\n{i} 문단이다." for i in range(1, 200)]
+    whole = joined(spark, pages)
+    assert len(whole) == len(pages) and whole != pages
+    monkeypatch.setattr(structure, "PAGES_AT_ONCE", 3)
+    assert joined(spark, pages) == whole
+    monkeypatch.setattr(structure, "PAGES_AT_ONCE", 10_000)
+    assert joined(spark, pages) == whole
+
+
 def test_connect_lines_in_pairs(spark):
     docs = spark.createDataFrame([(1, "구분하고 있\n다고 했다.\n끝이다."), (2, "abc\ndef\nghi")], "doc_id bigint, text string")
     out = {r["doc_id"]: r["out"] for r in structure.connect_cut_lines(docs).collect()}
