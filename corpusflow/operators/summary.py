@@ -2,70 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as V
+from corpusflow.functions import arrow_text
 from corpusflow.functions import sentences as L
 from corpusflow.functions import text as T
 from corpusflow.operators import ranking
-from corpusflow.operators.lexical import explode_once
 from corpusflow.session import cut_lineage
 
 
-def key_sentences(
-    docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", query: str | None = None, stopwords=("",)
-) -> DataFrame:
-    """(key, sentences): the n sentences of highest TF-IDF mass, in their own order; all when there are no more than n.
+ROWS_AT_ONCE = 256
+
 
-    Idf is per document.  Everything is keyed by the document, so one shuffle by key serves the frequencies, the norms
-    and the choice; a document is the largest group.
+def _weights(lists: pa.ListArray, total: np.ndarray, sentence_of: np.ndarray, n_sentences: int, asked: pa.ListArray | None) -> np.ndarray:
+    """Scores of the sentences of a few documents; NaN for sentences without a term.
+
+    `lists` has the tokens of every sentence, `sentence_of` the document of every sentence, `total` the number of sentences
+    of every document and `asked` the tokens of every document's question.
     """
-    listed = docs.filter(T.strip(F.col(text)) != "").select(
-        key, L.split_at_spaces(F.col(text)).alias("s"), *([F.col(query).alias("_q")] if query else [])
-    )
-    short = listed.filter(F.size("s") <= n).select(key, F.col("s").alias("sentences"))
-    long = listed.filter(F.size("s") > n)
+    own = lists.flatten().dictionary_encode()
+    width = max(len(own.dictionary), 1)
+    cells, tf = np.unique(arrow_text.rows_of(lists) * width + own.indices.to_numpy().astype(np.int64), return_counts=True)
+    sentence = cells // width
+    terms = sentence_of[sentence] * width + cells % width  # a term of a document
+    known, at, df = np.unique(terms, return_inverse=True, return_counts=True)
+    idf = np.log((total[known // width] + 1.0) / (df + 1.0)) + 1.0
+    w = tf * idf[at]
+    norm = np.sqrt(np.bincount(sentence, w * w, minlength=n_sentences))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        score = 0.7 * np.bincount(sentence, w, minlength=n_sentences) / norm
+        if asked is not None and len(known):
+            code = pc.index_in(asked.flatten(), own.dictionary)
+            held = code.is_valid().to_numpy(zero_copy_only=False)
+            wanted, qtf = np.unique(arrow_text.rows_of(asked)[held] * width + code.drop_null().to_numpy(), return_counts=True)
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            hit = known[place] == wanted
+            place, qw = place[hit], qtf[hit] * idf[place[hit]]
+            q = np.zeros(len(known))
+            q[place] = qw / np.sqrt(np.bincount(known[place] // width, qw * qw, minlength=len(total)))[known[place] // width]
+            score += 0.3 * np.bincount(sentence, w * q[at], minlength=n_sentences) / norm
+    return np.round(score, 6)
+
+
+def _choose(n: int, kept: int, asking: bool, stopwords):
+    """Adds the chosen sentences to the first `kept` columns; the sentences, lowered, and the lowered question follow them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(low, ROWS_AT_ONCE)
+                lists, lowered = batch.column(kept), batch.column(kept + 1).flatten()
+                size = lists.value_lengths().fill_null(0).to_numpy()
+                row = arrow_text.rows_of(lists)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                tried = np.flatnonzero(size[row] > n)
+                asked = arrow_text.tokens(batch.column(kept + 2), stopwords) if asking else None
+                score = np.full(len(row), np.nan)
+                score[tried] = _weights(arrow_text.tokens(lowered.take(pa.array(tried)), stopwords), size, row[tried], len(tried), asked)
+                order = np.lexsort((place, -score, row))  # NaN last
+                rank = np.empty(len(row), np.int64)
+                rank[order] = place
+                held = np.flatnonzero((size[row] <= n) | ((rank < n) & ~np.isnan(score)))
+                chosen = arrow_text.lists_of(lists.flatten().take(pa.array(held)), row[held], len(batch))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], chosen], [*batch.schema.names[:kept], "sentences"])
+
+    return run
+
+
+def with_key_sentences(docs: DataFrame, n: int = 5, text: str = "text", query: str | None = None, stopwords=("",)) -> DataFrame:
+    """Adds `sentences`: the n sentences of highest TF-IDF mass, in their own order; all when there are no more than n.
+
+    Idf is per document, so everything is decided in the row, a few hundred documents at a time; nothing is shuffled.
+    """
+    sentences = F.when(T.strip(F.col(text)) != "", L.split_at_spaces(F.col(text)))
+    split = docs.withColumn("_s", sentences)
+    lowered = [F.transform("_s", F.lower).alias("_l"), *([F.lower(query).alias("_q")] if query else [])]
+    schema = docs.withColumn("sentences", F.array().cast("array<string>")).schema
+    return split.select(*docs.columns, "_s", *lowered).mapInArrow(_choose(n, len(docs.columns), query is not None, tuple(w for w in stopwords if w)), schema)
 
-    def terms(c: Column) -> Column:
-        return F.filter(T.tokens(c), lambda t: ~t.isin(*stopwords))
 
-    counted = F.transform("s", lambda s, i: F.transform(T.run_lengths(terms(s)), lambda h: F.struct(i.alias("sent_no"), h["item"].alias("item"), h["n"].alias("n"))))
-    rows = explode_once(long.select(key, F.size("s").alias("total"), F.flatten(counted).alias("h")), "h", "p").select(
-        key, "total", "p.sent_no", "p"
-    )
-    flat = rows.select(key, "total", "sent_no", F.col("p.item").alias("term"), F.col("p.n").alias("tf"))
-    # per document: term -> [(sentence, tf)], whose size is the document frequency of the term
-    by_term = flat.groupBy(key, "total", "term").agg(F.collect_list(F.struct("sent_no", "tf")).alias("at"))
-    weighted = by_term.withColumn("idf", F.log((F.col("total") + 1.0) / (F.size("at") + 1.0)) + 1.0)
-    cells = weighted.select(key, "term", "idf", F.explode("at").alias("a")).select(
-        key, "term", "idf", F.col("a.sent_no").alias("sent_no"), (F.col("a.tf") * F.col("idf")).alias("w")
-    )
-    if query:
-        asked = long.select(key, F.explode(T.run_lengths(terms(F.col("_q")))).alias("p")).select(
-            key, F.col("p.item").alias("term"), F.col("p.n").alias("qtf")
-        )
-        known = asked.join(weighted.select(key, "term", "idf"), [key, "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
-        norms = known.groupBy(key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-        cells = cells.join(known.join(norms, key).select(key, "term", (F.col("qw") / F.col("qn")).alias("q")), [key, "term"], "left")
-    else:
-        cells = cells.withColumn("q", F.lit(None).cast("double"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    score = 0.7 * F.sum("w") / norm + 0.3 * F.coalesce(F.sum(F.col("w") * F.col("q")), F.lit(0.0)) / norm
-    scored = cells.groupBy(key, "sent_no").agg(F.round(score, 6).alias("score"))
-    best = scored.groupBy(key).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "sent_no"))), 1, n).alias("b")
-    )
-    chosen = long.select(key, "s").join(best, key, "left").select(
-        key,
-        F.transform(
-            F.sort_array(
-                F.coalesce(F.transform("b", lambda b: b["sent_no"]), F.array().cast("array<int>"))
-            ),
-            lambda i: F.get("s", i),
-        ).alias("sentences"),
-    )
-    return short.unionByName(chosen)
+def key_sentences(
+    docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", query: str | None = None, stopwords=("",)
+) -> DataFrame:
+    """(key, sentences) of the documents with text, as with_key_sentences gives them."""
+    rows = docs.filter(T.strip(F.col(text)) != "").select(*dict.fromkeys([key, text, *([query] if query else [])]))
+    return with_key_sentences(rows, n, text, query, stopwords).select(key, "sentences")
 
 
 def extractive_summary(sentences: Column, target: Column | int) -> Column:
@@ -126,11 +154,8 @@ def summaries(
     docs: DataFrame, target: Column | int = 500, n: int = 5, key: str = "doc_id", text: str = "text", query: str | None = None
 ) -> DataFrame:
     """(key, sentences, summary, importance_score, compression_ratio, original_length)."""
-    chosen = key_sentences(docs, n, key, text, query)
-    joined = docs.join(chosen, key, "left").withColumn(
-        "sentences", F.coalesce("sentences", F.array().cast("array<string>"))
-    )
-    out = joined.withColumn("summary", extractive_summary(F.col("sentences"), target))
+    rows = docs.select(*dict.fromkeys([key, text, *([query] if query else [])]))
+    out = with_key_sentences(rows, n, text, query).withColumn("summary", extractive_summary(F.col("sentences"), target))
     return out.select(
         key, "sentences", "summary", F.round(importance(F.col(text), F.col(query) if query else None), 6).alias("importance_score"),
         F.when(F.length(text) > 0, F.round(F.length("summary") / F.length(text), 6)).otherwise(0.0).alias("compression_ratio"),
@@ -145,7 +170,7 @@ def multi_level(docs: DataFrame, levels: int = 3, key: str = "doc_id", text: str
     """
     current, out = docs.select(key, F.col(text).alias("text")), None
     for level in range(levels):
-        rows = cut_lineage(summaries(current, key=key).withColumn("level", F.lit(level)))
+        rows = cut_lineage(summaries(current, key=key).drop("sentences").withColumn("level", F.lit(level)))
         out = rows if out is None else out.unionByName(rows)
         current = rows.select(key, F.col("summary").alias("text"))
     return out.select("level", key, "summary", "importance_score", "compression_ratio", "original_length")

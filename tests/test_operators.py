@@ -211,6 +211,48 @@ def test_stored_index_of_batches_equals_a_scan(spark, small, monkeypatch, tmp_pa
     assert [r["doc_id"] for r in inverted.bm25_top_k(spark, path, asked).filter("query_id = -2").collect()] == [20_000]  # before any refresh
 
 
+def test_heavy_terms_are_exact(spark):
+    """Terms spread over many local counts, ties at the limit: the same terms as a full count, whatever the counts leave out."""
+    rng = random.Random(5)
+    rows = [([(f"t{min(int(rng.paretovariate(0.7)), 3000)}", rng.randint(1, 3)) for _ in range(50)] + [("last", 1)],) for _ in range(60)]
+    terms = spark.createDataFrame([([t for t in dict(r).items()],) for (r,) in rows], "terms array<struct<item:string,n:int>>").repartition(7)
+    flat = terms.select(F.explode("terms").alias("t")).groupBy(F.col("t.item").alias("term")).agg(F.count("*").alias("df"), F.sum("t.n").alias("tf"))
+    for k in (1, 10, 5000):
+        wanted = [tuple(r) for r in flat.orderBy(F.desc("tf"), "term").limit(k).collect()]
+        for most in (1, 20):
+            assert [tuple(r) for r in inverted._heavy(terms, k, most).collect()] == wanted
+
+
+def test_stored_index_is_built_without_shuffled_postings(spark, tmp_path):
+    """Every writing task holds all buckets of its own documents, so building does not pass through BUCKETS tasks."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some common words"), F.col("id").cast("string")).alias("text")).repartition(20)
+    path = str(tmp_path / "index")
+    inverted.add(docs, path)
+    inverted.refresh(spark, path)
+    one = spark.read.parquet(f"{path}/words").filter("term = 'common'").select(F.input_file_name().alias("f")).distinct().count()
+    assert one > 4  # rows of a bucket came from at most four tasks
+
+
+def test_key_sentences_do_not_shuffle(spark, small):
+    """Everything that a document's sentences need is in its row, so no posting and no text leaves it."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("title", F.substring_index("text", "\n", 1))
+    for df in (summary.key_sentences(docs), summary.key_sentences(docs, query="title"), summary.summaries(docs)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrow_words_are_those_of_the_columns(spark):
+    import pyarrow as pa
+
+    from corpusflow.functions import arrow_text
+
+    texts = [None, "", " \u3000 ", "a b\u00a0c\u2028d\x1ce\x85f g\tH", "Ünïcode_1 가나다 라, x²½ 漢字仮名 don't e\u0301a ①②", "이다 있다 word the 10.5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    rows = df.select(T.split_words(F.col("text")).alias("w"), F.filter(T.tokens(F.col("text")), lambda w: ~w.isin(*V.CLEAN_STOPWORDS)).alias("t")).collect()
+    assert arrow_text.words(pa.array(texts)).to_pylist() == [r["w"] or [] for r in rows]
+    lowered = pa.array([t and t.lower() for t in texts])
+    assert arrow_text.tokens(lowered, V.CLEAN_STOPWORDS).to_pylist() == [r["t"] or [] for r in rows]
+
+
 def test_stored_index_follows_its_files(spark, tmp_path):
     folder = str(tmp_path / "docs")
     spark.createDataFrame([(1, "some words here"), (2, "other words there")], "doc_id bigint, text string").write.parquet(folder)
