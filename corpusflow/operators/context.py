@@ -78,6 +78,11 @@ def context_routes(results: DataFrame, threshold: int = V.LARGE_CONTEXT_CHARS, q
 # --- packing ---------------------------------------------------------------------------------------------------------------------
 
 
+def _mean_score(mean: str) -> Column:
+    """A mean to six places. The mean of two scores of six places ends in a half, which is decided as SQL does: on the product."""
+    return F.round(F.col(mean) * 1e6) / 1e6
+
+
 def pack_results(
     results: DataFrame, strategy: str = "relevance", limit: int = V.MAX_CONTEXT_CHUNK, score: str = "score",
     higher_is_better: bool = True, query_key: str = "query_id",
@@ -117,7 +122,7 @@ def pack_results(
 
     return numbered.select(*keys, F.posexplode(F.transform(chosen, chunk))).select(
         *keys, F.col("pos").alias("chunk_no"), "col.chunk_id", "col.documents", "col.total_length",
-        F.round("col.relevance_score", 6).alias("relevance_score"), "col.ranks",
+        _mean_score("col.relevance_score").alias("relevance_score"), "col.ranks",
     )
 
 
@@ -191,7 +196,8 @@ def _topic_chunks(histograms: list, sizes: list[int], scores: list[float], limit
                 parts = enumerate(_bins(rows, sizes, limit, True))
                 chunks += [(f"{'large_doc' if sizes[part[0]] > limit else 'size'}_chunk_{n}", part, []) for n, part in parts]
             else:
-                best = sorted(range(len(terms)), key=lambda t: (-round(centres[topic][t], 9), terms[t]))[:5]
+                own = np.flatnonzero(centres[topic] > 0)  # a topic of fewer than five terms has only those
+                best = sorted(own, key=lambda t: (-round(centres[topic][t], 9), terms[t]))[:5]
                 chunks.append((f"topic_chunk_{topic}", rows, [terms[t] for t in best]))
     if hybrid:
         chunks = [c for name, rows, words in chunks for c in (by_relevance(rows) if sum(sizes[i] for i in rows) > 0.8 * limit else [(name, rows, words)])]
@@ -224,7 +230,7 @@ def pack_by_topic(
         names = [f.split()[0] for f in fields.split(", ")]
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, zip(*out), kinds)})
 
-    return rows.groupBy(query_key).applyInArrow(chunk, fields).withColumn("relevance_score", F.round("relevance_score", 6))
+    return rows.groupBy(query_key).applyInArrow(chunk, fields).withColumn("relevance_score", _mean_score("relevance_score"))
 
 
 def split_results(results: DataFrame, strategy: str = "relevance", limit: int = V.MAX_CONTEXT_CHUNK, score: str = "score", query_key: str = "query_id", higher_is_better: bool = True) -> DataFrame:

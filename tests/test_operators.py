@@ -233,6 +233,20 @@ def test_stored_index_is_built_without_shuffled_postings(spark, tmp_path):
     assert one > 4  # rows of a bucket came from at most four tasks
 
 
+def test_topics_have_only_their_own_terms_and_means_round_as_sql(spark):
+    texts = ["aa aa"] * 3 + ["bb cc"] * 3
+    rows = [(1, i + 1, t, 0.654624 if i % 2 else 0.654625) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "query_id bigint, rank int, text string, score double")
+    got = {tuple(r["topic_terms"]) for r in context.split_results(df, "topic", 29).collect()}
+    assert got == {("aa", "aa aa"), ("bb", "bb cc", "cc")}
+    pairs = {q: (1 - round(0.1 + q * 0.001003, 6), 1 - round(0.100001 + q * 0.001003, 6)) for q in range(600)}
+    df = spark.createDataFrame([(q, r + 1, "x", s[r]) for q, s in pairs.items() for r in (0, 1)], "query_id bigint, rank int, text string, score double")
+    products = {q: (a + b) / 2 * 1e6 for q, (a, b) in pairs.items()}
+    wanted = {q: (int(p) + (p - int(p) >= 0.5)) / 1e6 for q, p in products.items()}
+    for strategy in ("size", "topic"):
+        assert {r["query_id"]: r["relevance_score"] for r in context.split_results(df, strategy, 100).collect()} == wanted
+
+
 def test_key_sentences_do_not_shuffle(spark, small):
     """Everything that a document's sentences need is in its row, so no posting and no text leaves it."""
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("title", F.substring_index("text", "\n", 1))
