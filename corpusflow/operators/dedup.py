@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 from corpusflow.operators.lexical import explode_once
-from corpusflow.session import cut_lineage
+from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, within
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", lower: bool = False) -> DataFrame:
@@ -39,7 +39,7 @@ def clean_batch(docs: DataFrame, key: str = "doc_id", text: str = "text", search
 
 # --- near duplicates ---------------------------------------------------------------------------------------------------------
 
-SKETCH = 1 << 20  # counters of word frequencies; words that share one are ordered as if they were equally frequent
+MOST = 1 << 20  # words whose frequency the order knows, the most frequent ones
 
 
 def _word_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,34 +51,58 @@ def _word_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return first.select("id", F.length("t").alias("n"), words.alias("words")).withColumn("size", F.size("words"))
 
 
+def _frequencies(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the MOST most frequent words of rows (c), sorted, and in how many rows each is; the others come before them all."""
+    counts = cut_lineage(codes.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    by_count = counts.groupBy("n").count().orderBy(F.desc("n"))  # as many rows as there are different counts
+    above, least = 0, 2
+    for row in by_count.toLocalIterator():
+        above += row["count"]
+        if above > MOST:
+            least = row["n"] + 1
+            break
+    often = counts.filter(F.col("n") >= least).toArrow()
+    order = np.argsort(often["c"].to_numpy())
+    return often["c"].to_numpy()[order], often["n"].to_numpy()[order]
+
+
 def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
-    """Adds `prefix`: the hashes of the words of a set that any similar set must share one of, rarest first.
+    """Adds `prefix`, the hashes of the words of a set that any similar set must share one of, rarest first, and `bits`.
 
     A set of s words with overlap threshold t shares a word among its first s - ceil(t s) + 1 words in one global order, here
-    of all words by their frequency.  The frequencies are a table of SKETCH counters that every task holds; any order that
-    all rows share is exact, so words that share a counter only make a bucket larger.  The order is applied inside the row.
+    of all words by their frequency. Any order that all rows share is exact; words beyond those that the table of
+    frequencies holds are the rarest, in the order of their hashes. The order is applied inside the row.
+
+    `bits` has a bit for each remainder of the words' hashes by a power of two, two to four times the number of words.
     """
     coded = sets.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
-    slot = F.col("c").bitwiseAND(F.lit(SKETCH - 1)).cast("int")
-    counts = explode_once(coded.select("codes"), "codes", "c").groupBy(slot.alias("slot")).count().toArrow()  # at most SKETCH rows
-    often = np.zeros(SKETCH, np.int64)
-    often[counts["slot"].to_numpy()] = counts["count"].to_numpy()
+    known, counts = _frequencies(explode_once(coded.select("codes"), "codes", "c"))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("codes"))
             codes, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
             row = np.repeat(np.arange(len(batch)), sizes)
-            order = np.lexsort((codes, often[codes & (SKETCH - 1)], row))
+            often = np.zeros(len(codes), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                often = np.where(known[at] == codes, counts[at], 0)
+            order = np.lexsort((codes, often, row))
             place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
             held = place < keep[row]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row[held], minlength=len(batch)))])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes[order][held]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), prefix], ["id", "n", "words", "size", "prefix"])
+            width = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+            begin = np.concatenate([[0], np.cumsum(width)])
+            flags = np.zeros(begin[-1], bool)
+            flags[begin[row] + (codes & (width[row] - 1))] = True
+            packed = np.packbits(flags, bitorder="little").tobytes()
+            bits = pa.array([packed[i:j] for i, j in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), prefix, bits], ["id", "n", "words", "size", "prefix", "bits"])
 
     rows = coded.select("id", "n", "words", "size", "codes")
-    return rows.mapInArrow(ordered, f"id {dict(sets.dtypes)['id']}, n int, words array<string>, size int, prefix array<bigint>")
+    return rows.mapInArrow(ordered, f"id {dict(sets.dtypes)['id']}, n int, words array<string>, size int, prefix array<bigint>, bits binary")
 
 
 def _bucketed(sets: DataFrame, threshold: float) -> DataFrame:
@@ -102,6 +126,49 @@ def _similar(threshold: float):
     return near & (common / (F.col("a.size") + F.col("b.size") - common) >= threshold)
 
 
+def _bits_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits each two bitmaps differ; of two lengths the longer is folded to the shorter."""
+    out = np.zeros(len(left), np.int64)
+    shapes = np.array([(len(a), len(b)) for a, b in zip(left, right)]).reshape(-1, 2)
+    for shape in np.unique(shapes, axis=0):
+        rows = np.flatnonzero((shapes == shape).all(axis=1))
+        least = shape.min()
+        sides = [np.frombuffer(b"".join([side[i] for i in rows]), np.uint8).reshape(len(rows), -1, least) for side in (left, right)]
+        a, b = (np.bitwise_or.reduce(side, axis=1) for side in sides)
+        out[rows] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
+
+
+def _by_bits(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The tried (id, lead) pairs whose bitmaps do not exclude that they are similar.
+
+    Sets differ in at least as many words as their bitmaps do in bits, and similar ones of a and b words in at most
+    (1 - t) / (1 + t) of a + b. So pairs are shuffled with bitmaps, not with texts, and few are left.
+    """
+    a, b = (sets.select(F.col("id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("bits").alias(f"{s}_bits")) for s in "ab")
+    kind = dict(tried.dtypes)["id"]
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = _bits_apart(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            words = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            yield batch.select(["id", "lead"]).filter(pa.array(apart <= words * (1 - threshold) / (1 + threshold) + 1e-9))
+
+    joined = tried.join(a, F.col("a_id") == F.col("lead")).join(b, F.col("b_id") == F.col("id"))
+    return joined.select("id", "lead", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(passing, f"id {kind}, lead {kind}")
+
+
+def _verified(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The tried (id, lead) pairs, lead before id, that are similar."""
+    left = cut_lineage(_by_bits(tried, sets, threshold))
+    body = sets.select("id", "n", "size", "words")
+    if within(left, MAX_BROADCAST_ROWS):  # few: only their words are shuffled
+        ids = left.select("id").unionByName(left.select(F.col("lead").alias("id"))).distinct()
+        body = body.join(F.broadcast(ids), "id", "left_semi")
+    joined = left.join(body.alias("a"), F.col("a.id") == F.col("lead")).join(body.alias("b"), F.col("b.id") == left["id"])
+    return joined.filter((F.col("lead") < left["id"]) & _similar(threshold)).select(left["id"].alias("id"), "lead")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keeper): greedy keep-first near-duplicate removal; keeper is null for kept rows, else the kept row that removed it.
 
@@ -113,8 +180,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     in the buckets are verified once and the same rule runs on the verified pairs.  Both ways are exact.
     """
     sets = cut_lineage(_rare_first(_word_sets(docs, key, text), threshold))
-    index = cut_lineage(_bucketed(sets, threshold))
-    decided, entries, before = [], index.count(), math.inf
+    index = cut_lineage(_met(_bucketed(sets, threshold)))
+    alone = sets.select("id").join(index.select("id").distinct(), "id", "left_anti")
+    decided, entries, before = [alone.select("id", F.lit(None).cast("bigint").alias("keeper"))], index.count(), math.inf
     while entries and entries <= 0.9 * before:
         before = entries
         leads = index.groupBy("w").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
@@ -132,11 +200,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     return reduce(DataFrame.unionByName, [*decided, rest]).select(F.col("id").alias(key), "keeper")
 
 
+def _met(index: DataFrame) -> DataFrame:
+    """The entries of buckets that several rows are in."""
+    return index.join(index.groupBy("w").count().filter("count > 1").select("w"), "w", "left_semi")
+
+
 def _matches(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(id, keeper) for the tried (id, lead) pairs that are similar; the smallest lead wins."""
-    body = sets.select("id", "n", "size", "words")
-    joined = tried.join(body.alias("a"), F.col("a.id") == F.col("lead")).join(body.alias("b"), F.col("b.id") == tried["id"])
-    return joined.filter((F.col("lead") < tried["id"]) & _similar(threshold)).groupBy(tried["id"].alias("id")).agg(F.min("lead").alias("keeper"))
+    return _verified(tried, sets, threshold).groupBy("id").agg(F.min("lead").alias("keeper"))
 
 
 def _pairs_within(index: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -151,9 +222,7 @@ def _pairs_within(index: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     )
     enough = (1 + threshold) * F.least("left", "ll") >= threshold * (F.col("size") + F.col("ls")) - 1e-9
     tried = earlier.join(index, "w").filter((F.col("lead") < F.col("id")) & close & enough).select("id", "lead").distinct()
-    body = sets.select("id", "n", "size", "words")
-    joined = tried.join(body.alias("a"), F.col("a.id") == F.col("lead")).join(body.alias("b"), F.col("b.id") == tried["id"])
-    return joined.filter(_similar(threshold)).select(tried["id"].alias("id"), "lead")
+    return _verified(tried, sets, threshold)
 
 
 def _chains(pairs: DataFrame) -> DataFrame:

@@ -156,6 +156,29 @@ def test_near_duplicates_match_the_loop(spark):
     assert {r["doc_id"] for r in got.collect()} == greedy(texts)
 
 
+def test_near_duplicate_pairs_are_excluded_by_bitmaps(spark):
+    """Rows that share one rare word: their words are compared only for the pairs that the bitmaps leave, similar ones among them."""
+    rng = random.Random(9)
+    texts = [" ".join(["rare", *rng.sample([f"w{i}" for i in range(4000)], size)]) for size in [40] * 8 + [170] * 8 + [700] * 8]
+    texts += [t.replace("rare", "else") + " " + " ".join(f"x{i}" for i in range(more)) for t in texts for more in (1, len(t.split()) // 6)]
+    words = [set(t.split()) for t in texts]
+    pairs = [(b, a) for b in range(len(texts)) for a in range(b) if 0.8 <= len(words[a]) / len(words[b]) <= 1.25]
+    alike = {(b, a) for b, a in pairs if len(words[a] & words[b]) / len(words[a] | words[b]) >= 0.8}
+    sets = dedup._rare_first(dedup._word_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text"), 0.8)
+    left = {(r["id"], r["lead"]) for r in dedup._by_bits(spark.createDataFrame(pairs, "id bigint, lead bigint"), sets, 0.8).collect()}
+    assert alike <= left and 24 <= len(alike) and len(left) < len(alike) + (len(pairs) - len(alike)) / 20
+
+
+def test_near_duplicates_order_words_by_frequency(spark):
+    """The order knows the frequent words however many rare ones there are: all share `every`, none has it in its prefix."""
+    rows = [(i, "every " + " ".join(f"w{i}x{j}" for j in range(20)) + f" pair{i // 2}") for i in range(40)]
+    sets = dedup._word_sets(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    first = dedup._rare_first(sets, 0.8)
+    assert first.filter(F.array_contains("prefix", F.xxhash64(F.lit("every")))).isEmpty()
+    met = dedup._met(dedup._bucketed(first, 0.8))
+    assert met.isEmpty()  # words of one row alone make no entries
+
+
 def test_exact_duplicates(spark):
     df = spark.createDataFrame([(1, "같다"), (2, " 같다 "), (3, "다르다")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in dedup.drop_exact_duplicates(df).collect()) == [1, 3]
