@@ -29,12 +29,16 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
 
 def clean_batch(docs: DataFrame, key: str = "doc_id", text: str = "text", search: bool = True) -> DataFrame:
-    """Batch pipeline: clean, normalise, optionally optimise for search, then keep the first of equal results."""
+    """Batch pipeline: clean, normalise, optionally optimise for search, then keep the first of equal results.
+
+    A text is cleaned once: a filter on the plain column would do it again, and duplicates, which read the results twice, are
+    looked for in the kept ones.
+    """
     content = T.normalize_punctuation(T.clean_patterns(F.col(text), preserve_structure=not search))
     if search:
         content = T.optimize_for_search(content)
-    cleaned = docs.filter(T.strip(F.col(text)) != "").select(key, content.alias("out"))
-    return drop_exact_duplicates(cleaned.filter(T.strip(F.col("out")) != ""), key, "out", lower=True)
+    cleaned = explode_once(docs.filter(T.strip(F.col(text)) != "").select(key, F.array(content).alias("o")), "o", "out")
+    return drop_exact_duplicates(cut_lineage(cleaned.filter(T.strip(F.col("out")) != "")), key, "out", lower=True)
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------------------

@@ -179,6 +179,20 @@ def test_near_duplicates_order_words_by_frequency(spark):
     assert met.isEmpty()  # words of one row alone make no entries
 
 
+def test_batch_cleaning_cleans_a_text_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def searched(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(dedup.T, "optimize_for_search", searched)
+    df = spark.createDataFrame([(1, "one text"), (2, "One text"), (3, "other"), (4, " "), (5, None)], "doc_id bigint, text string")
+    assert sorted(map(tuple, dedup.clean_batch(df).collect())) == [(1, "one text"), (3, "other")]
+    assert seen.value == 3
+
+
 def test_exact_duplicates(spark):
     df = spark.createDataFrame([(1, "같다"), (2, " 같다 "), (3, "다르다")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in dedup.drop_exact_duplicates(df).collect()) == [1, 3]
