@@ -31,7 +31,8 @@ def main() -> None:
         from corpusflow.plans import retrieval
 
         start = time.time()
-        retrieval.index(spark, folder)
+        for part in ("terms", "words"):
+            retrieval.index(spark, folder, part)
         seconds["stored_index_built"] = round(time.time() - start, 3)
     for name in sys.argv[1:] or HEADLINE:
         start = time.time()

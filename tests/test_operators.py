@@ -1,6 +1,7 @@
 """Operators against brute force or literal cases, where SQL has no say."""
 
 import itertools
+import pathlib
 import random
 
 import numpy as np
@@ -260,6 +261,49 @@ def test_heavy_terms_are_exact(spark):
             assert [tuple(r) for r in inverted._heavy(terms, k, most).collect()] == wanted
 
 
+def test_token_counts_are_exact_and_name_only_what_is_sent(spark, monkeypatch):
+    """Counts of words and pairs by number: the terms of a full count, with ties at the limit and several local counts."""
+    rng = random.Random(7)
+    rows = [(" ".join(f"t{min(int(rng.paretovariate(0.7)), 300)}" for _ in range(rng.choice([1, 2, 60]))),) for _ in range(60)]
+    tokens = spark.createDataFrame([*rows, (None,), ("single",)], "tokens string").repartition(5)
+    flat = tokens.select(F.explode(inverted._of_tokens()).alias("t")).groupBy(F.col("t.item").alias("term")).agg(F.count("*").alias("df"), F.sum("t.n").alias("tf"))
+    for k, most in ((1, 1), (10, 1), (10, 20), (5000, 20)):
+        wanted = [tuple(r) for r in flat.orderBy(F.desc("tf"), "term").limit(k).collect()]
+        assert [tuple(r) for r in inverted._heavy(tokens, k, most).collect()] == wanted
+    monkeypatch.setattr(inverted, "MAX_BROADCAST_ROWS", 0)  # all are counted
+    assert [tuple(r) for r in inverted._heavy(tokens, 5000, 20).collect()] == wanted
+
+
+def test_a_part_of_the_index_is_built_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some common words {i} here" if i else None) for i in range(9)], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = spark.createDataFrame([(1, "common words 3"), (2, "here")], "query_id bigint, text string")
+    terms, words = (inverted.stored(docs, docs, parts=(part,)) for part in inverted.PARTS)
+    folders = lambda path: {p.name for p in pathlib.Path(path.removeprefix("file:")).iterdir()}
+    assert folders(terms) == {"forward", "features", "terms"} and folders(words) == {"sizes", "words", "word_counts"}
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(inverted.keyword_hits(spark, terms, asked, words_path=words)) == rows(lexical.keyword_hits(docs, asked))
+    assert dict(spark.read.parquet(f"{terms}/forward").dtypes)["tokens"] == "string"  # no list of pairs
+
+
+def test_tokens_of_few_documents_stay_in_place(spark, tmp_path):
+    """The ids of few documents are sent to the stored tokens, which do not pass through a shuffle."""
+    path = str(tmp_path / "index")
+    spark.createDataFrame([(1, "aa bb aa"), (2, None), (3, "bb")], "doc_id bigint, tokens string").write.parquet(f"{path}/forward/batch=1")
+    spark.createDataFrame([("aa", 0, 3.0), ("aa bb", 1, 4.0), ("bb", 2, 1.0)], "term string, term_id int, idf double").write.parquet(f"{path}/features/version=1")
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id bigint").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = inverted.document_vectors(spark, path, ids)
+        assert "rightHint=(strategy=broadcast)" in [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftSemi" in line][0]
+        (row,) = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    norm = (36 + 16 + 1) ** 0.5
+    assert row["doc_id"] == 1 and dict(zip(row["words"], row["weights"])) == pytest.approx({"aa": 6 / norm, "aa bb": 4 / norm, "bb": 1 / norm})
+
+
 def test_stored_index_is_built_without_shuffled_postings(spark, tmp_path):
     """Every writing task holds all buckets of its own documents, so building does not pass through BUCKETS tasks."""
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some common words"), F.col("id").cast("string")).alias("text")).repartition(20)
