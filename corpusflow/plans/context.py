@@ -10,19 +10,8 @@ from corpusflow.operators import context, ranking, structure, summary
 from corpusflow.plans import sql as S
 from corpusflow.plans.clean import _KEPT
 from corpusflow.plans.registry import register
-from corpusflow.plans.retrieval import _GRAMS, TFIDF, find, passages
-from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, table, within
-
-
-def with_texts(found, rows):
-    """Results with the columns of their documents.
-
-    Results that a count proves few are sent to the documents, whose texts then never move.  Else the ids alone pick the
-    documents first, so that only texts of results are shuffled.
-    """
-    if within(found, MAX_BROADCAST_ROWS):
-        return rows.join(F.broadcast(found), "doc_id").select(*found.columns, *[c for c in rows.columns if c != "doc_id"])
-    return found.join(rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+from corpusflow.plans.retrieval import _GRAMS, TFIDF, find, passages, with_texts
+from corpusflow.session import cut_lineage, table
 
 
 def results(spark, sf):

@@ -304,6 +304,23 @@ def test_tokens_of_few_documents_stay_in_place(spark, tmp_path):
     assert row["doc_id"] == 1 and dict(zip(row["words"], row["weights"])) == pytest.approx({"aa": 6 / norm, "aa bb": 4 / norm, "bb": 1 / norm})
 
 
+def test_texts_of_few_results_stay_in_place(spark, tmp_path, monkeypatch):
+    """The ranks of relevant results: the few results are sent to the documents, whose texts do not pass through a shuffle."""
+    from corpusflow.plans import retrieval
+
+    spark.createDataFrame([(i, f"some words {i} here") for i in range(9)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "words 3"), (2, "none")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = spark.createDataFrame([(1, 1, 5), (1, 2, 3), (2, 1, 8)], "query_id bigint, rank int, doc_id bigint")
+    monkeypatch.setattr(retrieval, "find", lambda spark, sf: lambda asked, k: found)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranks = retrieval._best_ranks(spark, str(tmp_path))
+        assert any("Join Inner, (doc_id" in line and "strategy=broadcast" in line for line in ranks._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+        assert {tuple(r) for r in ranks.collect()} == {(1, 2), (2, None)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_stored_index_is_built_without_shuffled_postings(spark, tmp_path):
     """Every writing task holds all buckets of its own documents, so building does not pass through BUCKETS tasks."""
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some common words"), F.col("id").cast("string")).alias("text")).repartition(20)
