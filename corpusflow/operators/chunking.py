@@ -178,6 +178,7 @@ def blocks(docs: DataFrame, limit: int = 3000, separator: str = "\n\n", key: str
 # --- semantic chunking --------------------------------------------------------------------------------------------------------------
 
 WORDS = r"[가-힣]{2,}|[A-Za-z]{3,}|\d+"
+NEAR, APART = 0.7, 0.2  # keyword overlaps of neighbours beyond which a boundary goes or comes
 
 
 def refined_paragraphs(text: Column, limit: int = V.SEMANTIC_MAX, separator: str = "\n\n") -> Column:
@@ -200,7 +201,8 @@ def paragraph_lists(docs: DataFrame, limit: int = V.SEMANTIC_MAX, separator: str
     flags = F.transform("i", lambda x: x["first"])
     groups = folds.pack(F.transform(texts, F.length), limit, 1, 0, 0, flags)
     grouped = listed.withColumn("g", groups)
-    return grouped.select(key, folds.assemble(texts, F.col("g"), " ").alias("p"))
+    # bound once: inside assemble the texts would be made again for every position
+    return grouped.select(key, T.let(texts, lambda t: folds.assemble(t, F.col("g"), " ")).alias("p"))
 
 
 def keywords(text: Column, domain=V.DOMAIN_KEYWORDS, top: int = 20) -> Column:
@@ -261,7 +263,7 @@ def topic_boundaries(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
     near = F.transform("terms", lambda t, i: keyword_overlap(t, F.coalesce(F.get("terms", i + 1), F.array().cast("array<string>"))))
     marked = terms.withColumn("score", score).withColumn("near", near)
     marked = marked.withColumn("first", F.transform("score", lambda s: s >= 2.0))
-    return marked.withColumn("final", folds.adjust_boundaries(F.col("first"), F.col("near"), 0.7, 0.2))
+    return marked.withColumn("final", folds.adjust_boundaries(F.col("first"), F.col("near"), NEAR, APART))
 
 
 def merge_keywords(entries: Column) -> Column:
@@ -292,7 +294,7 @@ def semantic_chunks(
 ) -> DataFrame:
     """(key, chunk_no, text, kw): segments between topic boundaries, small ones merged, large ones re-cut by sentence."""
     marked = topic_boundaries(paragraph_lists(docs, maximum, separator, key), key)
-    cut = marked.withColumn("g", folds.segments(F.col("final")))
+    cut = marked.withColumn("g", folds.adjusted_segments(F.col("first"), F.col("near"), NEAR, APART))
 
     def unit(words: Column, opens: Column, piece: Column, kw: Column) -> Column:
         return F.struct(words.alias("t"), opens.alias("first"), piece.alias("piece"), kw.alias("kw"))
@@ -311,10 +313,8 @@ def semantic_chunks(
         )
 
     items = cut.select(key, F.flatten(F.transform("g", expand)).alias("i"))
-    texts = F.transform("i", lambda x: x["t"])
-    packed = items.withColumn(
-        "b", folds.pack(F.transform(texts, F.length), maximum, 1, 0, 0, F.transform("i", lambda x: x["first"]))
-    )
+    sizes, opens, pieces = F.transform("i", lambda x: F.length(x["t"])), F.transform("i", lambda x: x["first"]), F.transform("i", lambda x: x["piece"])
+    packed = items.withColumn("m", folds.pack_and_merge(sizes, opens, pieces, maximum, 1, 0, minimum))
 
     def rebuilt(b: Column) -> Column:
         head = F.get("i", F.get(b, F.lit(0)))
@@ -323,18 +323,14 @@ def semantic_chunks(
             t.alias("t"), head["piece"].alias("piece"), F.when(head["piece"], keywords(t)).otherwise(head["kw"]).alias("kw")
         )
 
-    units = packed.select(key, F.transform("b", rebuilt).alias("u"))
-    sized = units.withColumn(
-        "m", folds.merge_small(F.transform("u", lambda u: F.length(u["t"])), F.transform("u", lambda u: u["piece"]), minimum)
-    )
-    chunk = F.transform(
-        "m",
-        lambda m: F.struct(
-            F.array_join(F.transform(m, lambda i: F.get("u", i)["t"]), "\n\n").alias("text"),
-            merge_keywords(F.flatten(F.transform(m, lambda i: F.get("u", i)["kw"]))).alias("kw"),
-        ),
-    )
-    return sized.select(key, F.posexplode(chunk)).select(key, F.col("pos").alias("chunk_no"), "col.text", "col.kw")
+    def chunk(units: Column) -> Column:
+        return F.struct(
+            F.array_join(F.transform(units, lambda u: u["t"]), "\n\n").alias("text"),
+            merge_keywords(F.flatten(F.transform(units, lambda u: u["kw"]))).alias("kw"),
+        )
+
+    chunks = F.transform("m", lambda bins: T.let(F.transform(bins, rebuilt), chunk))
+    return packed.select(key, F.posexplode(chunks)).select(key, F.col("pos").alias("chunk_no"), "col.text", "col.kw")
 
 
 def chunk_topics(chunks: DataFrame, domain=V.DOMAIN_KEYWORDS) -> DataFrame:

@@ -74,6 +74,40 @@ def test_corrections(spark):
     assert [r["accepted"] for r in chunking.accept_corrections(df).orderBy("i").collect()] == [True, False, False, False]
 
 
+def test_folds_of_semantic_chunks_share_workers(spark, small):
+    from corpusflow import plans
+
+    plan = plans.queries()["semantic_statistics"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3  # a task has a worker for each
+
+
+def test_pack_and_merge_is_one_after_the_other(spark):
+    from corpusflow.functions import folds
+
+    rows = [([5, 6, 1, 9, 2, 2], [True, False, False, True, True, False], [True, False, False, True, False, False]), ([], [], []), (None, None, None), ([30], [True], [False])]
+    df = spark.createDataFrame(rows, "n array<int>, opens array<boolean>, fixed array<boolean>")
+    two = df.withColumn("b", folds.pack("n", 11, 1, 0, 0, F.col("opens")))
+    sizes = F.transform("b", lambda b: F.aggregate(b, F.lit(-1), lambda a, i: a + 1 + F.get("n", i)))
+    two = two.withColumn("m", folds.merge_small(sizes, F.transform("b", lambda b: F.get("fixed", F.get(b, F.lit(0)))), 6))
+    both = two.withColumn("own", folds.pack_and_merge(F.col("n"), F.col("opens"), F.col("fixed"), 11, 1, 0, 6)).coalesce(1).collect()
+    assert [r["own"] for r in both] == [[[r["b"][i] for i in m] for m in r["m"]] if r["m"] is not None else None for r in both]
+    assert both[0]["own"] == [[[0, 1], [2]], [[3], [4, 5]]] and both[1]["own"] == [] and both[2]["own"] is None and both[3]["own"] == [[[0]]]
+
+
+def test_adjusted_segments_are_those_of_the_revised_boundaries(spark):
+    from corpusflow.functions import folds
+
+    rows = [([True, False, False, False], [0.1, 0.1, None, 0.5]), ([True, False, True], [None, 0.9, None]), ([], []), (None, None)]
+    df = spark.createDataFrame(rows, "first array<boolean>, near array<double>")
+    out = df.select(
+        folds.adjusted_segments(F.col("first"), F.col("near"), 0.7, 0.2).alias("own"),
+        folds.segments(folds.adjust_boundaries(F.col("first"), F.col("near"), 0.7, 0.2)).alias("two"),
+        folds.running_total(F.transform("first", lambda f: f.cast("int"))).alias("total"),
+    ).coalesce(1).collect()
+    assert [r["own"] for r in out] == [r["two"] for r in out] == [[[0, 1], [2, 3]], [[0, 1, 2]], [], None]
+    assert [r["total"] for r in out] == [[1, 1, 1, 1], [1, 1, 2], [], None]
+
+
 def test_semantic_chunks_cover_the_words(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = chunking.semantic_chunks(docs, separator="\n").groupBy("doc_id").agg(
