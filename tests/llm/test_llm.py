@@ -428,6 +428,16 @@ def test_passages_of_a_third_of_all_texts_link_nothing(spark, monkeypatch):
     assert got == sorted(plain.copies(rows))
 
 
+def test_sets_are_numbers_inside_the_join(spark):
+    sets = spark.createDataFrame([(7, 2, [1, 2]), (8, 4, [1, 2, 3, 70])], "node bigint, n int, all array<bigint>")
+    bits = np.zeros(1, np.uint64)
+    bits[0] = 0b1110  # knows 1, 2 and 3
+    got = ngram_join._common(sets, bits, 75)
+    assert sorted(tuple(r) for r in got.collect()) == [(7, 2, 2), (8, 4, 3)]
+    entries = got.select(F.lit(1).cast("bigint").alias("token"), F.struct("node", "n", "common").alias("me"))
+    assert [tuple(r["lead"]) for r in ngram_join._with_leads(entries).collect()] == [(7, 2, 2)] * 2
+
+
 def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
     entries = spark.createDataFrame([(5, 7), (5, 7 + 2**40), (6, 9), (6, 9)], "token bigint, key bigint")
     assert [r["token"] for r in ngram_join._shared(entries, "key").collect()] == [5]
