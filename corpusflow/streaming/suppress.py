@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,6 +25,18 @@ def _next_fresh(times: np.ndarray, ttl: int) -> np.ndarray:
     return np.searchsorted(times, times + ttl, side="left")
 
 
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    """The list of every row as an array."""
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[low:high] for low, high in zip(ends[:-1], ends[1:])]
+
+
+def _lists(rows: list, kind: pa.DataType) -> pa.ListArray:
+    """The arrays of all rows as one array of lists."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
+
+
 def fresh_events(
     events: DataFrame, keys: list[str], ts: str = "ts", ttl_seconds: int = V.CACHE_TTL_SECONDS, span_seconds: int = 86_400,
     tie: str = "event_id",
@@ -44,17 +57,18 @@ def fresh_events(
     spans = spans.withColumn("t", F.transform("e", lambda e: e["_t"]))
 
     @row_udf(STEPS)
-    def steps(times: pd.Series, span_no: pd.Series) -> pd.DataFrame:
-        rows = [_steps(np.asarray(t), int(c) * span, ttl) for t, c in zip(times, span_no)]
-        return pd.DataFrame(rows, columns=["starts", "lasts"])
+    def steps(times: pa.Array, span_no: pa.Array) -> pa.Array:
+        found = [_steps(t, c * span, ttl) for t, c in zip(_arrays(times), span_no.to_pylist())]
+        return pa.StructArray.from_arrays([_lists([f[i] for f in found], pa.int64()) for i in (0, 1)], STEPS.names)
 
     @row_udf(ArrayType(LongType()))
-    def entry_times(starts: pd.Series, lasts: pd.Series) -> pd.Series:
-        return pd.Series([_entries(s, ends, ttl) for s, ends in zip(starts, lasts)], index=starts.index, dtype="object")
+    def entry_times(starts: pa.Array, lasts: pa.Array) -> pa.Array:
+        pairs = zip(starts, lasts)  # the spans of a key
+        return _lists([_entries(_arrays(s.values), _arrays(ends.values), ttl) for s, ends in pairs], pa.int64())
 
     @row_udf(ArrayType(BooleanType()))
-    def marks(times: pd.Series, entry: pd.Series) -> pd.Series:
-        return pd.Series([_marks(np.asarray(t), int(e), ttl) for t, e in zip(times, entry)], index=times.index, dtype="object")
+    def marks(times: pa.Array, entry: pa.Array) -> pa.Array:
+        return _lists([_marks(t, e, ttl) for t, e in zip(_arrays(times), entry.to_pylist())], pa.bool_())
 
     reduced = spans.select(*keys, "_c", steps("t", "_c").alias("s"))
     chains = reduced.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_c", "s.starts", "s.lasts"))).alias("x"))

@@ -136,6 +136,18 @@ def test_fresh_events_equal_the_loop(spark):
         assert {r["event_id"]: r["fresh"] for r in got.collect()} == loop(events, 300)
 
 
+def test_fresh_events_of_two_keys_to_the_microsecond(spark):
+    ttl = 300_000_000
+    micros = [0, ttl - 1, ttl, 2 * ttl - 1, 2 * ttl, 2 * ttl, 86_400_000_000 - 1, 86_400_000_000, 86_400_000_000 + ttl - 2, 86_400_000_000 + ttl - 1]
+    events = [((k, u), -3 * ttl + t, 100 * i + t % 7 * 10 + n) for i, (k, u) in enumerate([("a", 1), ("a", 2), ("b", 1)]) for n, t in enumerate(micros)]
+    rows = [(k, u, t, i, f"{i}") for (k, u), t, i in events]
+    df = spark.createDataFrame(rows, "k string, u bigint, t bigint, event_id bigint, props string").withColumn("ts", F.timestamp_micros("t"))
+    got = suppress.fresh_events(df, ["k", "u"], ttl_seconds=300).collect()
+    assert {r["event_id"]: r["fresh"] for r in got} == loop(events, ttl)
+    assert all(r["props"] == str(r["event_id"]) for r in got)
+    assert suppress.fresh_events(df.limit(0), ["k", "u"]).collect() == []
+
+
 def test_fresh_stream(spark, tmp_path):
     source = str(tmp_path / "events")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
