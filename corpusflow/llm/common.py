@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.session import checkpoint_dir
+from corpusflow.session import release, scratch  # noqa: F401 - used from here
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
@@ -37,12 +35,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect plans that are no longer held: Spark's cleaner then removes their shuffle files."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def returning_memory(run: Callable) -> Callable:
     """A function of Arrow batches whose Python worker gives freed memory back at its end; workers stay and wait for other tasks."""
 
@@ -57,35 +49,3 @@ def returning_memory(run: Callable) -> Callable:
                 trim(0)
 
     return wrapped
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """Yields keep(df): df written as Parquet in the shared checkpoint folder and read back; all is removed at the end.
-
-    keep.drop(df) removes a kept table earlier, when nothing reads it any more.
-    What leaves the block must not read these tables any more: cut its lineage with a checkpoint first.
-    """
-    root = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    count, paths = 0, {}
-
-    def keep(df: DataFrame) -> DataFrame:
-        nonlocal count
-        count += 1
-        path = f"{root}/{count}"
-        df.write.parquet(path)
-        release(spark)
-        kept = spark.read.schema(df.schema).parquet(path)
-        paths[id(kept)] = (path, kept)  # held, so that no other table gets its id
-        return kept
-
-    def delete(name: str) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    keep.drop = lambda df: delete(paths.pop(id(df))[0])
-    try:
-        yield keep
-    finally:
-        paths.clear()
-        delete(root)

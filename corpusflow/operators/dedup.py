@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corpusflow.functions import text as T
 from corpusflow.operators.lexical import explode_once
-from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, within
+from corpusflow.operators.shared import as_it_is, bitmap, known
+from corpusflow.session import MAX_BROADCAST_ROWS, cut_lineage, scratch, within
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", lower: bool = False) -> DataFrame:
@@ -70,6 +73,17 @@ def _frequencies(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return often["c"].to_numpy()[order], often["n"].to_numpy()[order]
 
 
+def _bits(codes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bitmap of each list of hashes: a bit for each remainder by a power of two, two to four times the length of the list."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    width = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(width)])
+    flags = np.zeros(begin[-1], bool)
+    flags[begin[row] + (codes & (width[row] - 1))] = True
+    packed = np.packbits(flags, bitorder="little").tobytes()
+    return [packed[i:j] for i, j in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())]
+
+
 def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
     """Adds `prefix`, the hashes of the words of a set that any similar set must share one of, rarest first, and `bits`.
 
@@ -77,7 +91,7 @@ def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
     of all words by their frequency. Any order that all rows share is exact; words beyond those that the table of
     frequencies holds are the rarest, in the order of their hashes. The order is applied inside the row.
 
-    `bits` has a bit for each remainder of the words' hashes by a power of two, two to four times the number of words.
+    `bits` are those of `_bits`.
     """
     coded = sets.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
     known, counts = _frequencies(explode_once(coded.select("codes"), "codes", "c"))
@@ -97,12 +111,7 @@ def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
             held = place < keep[row]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row[held], minlength=len(batch)))])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes[order][held]))
-            width = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
-            begin = np.concatenate([[0], np.cumsum(width)])
-            flags = np.zeros(begin[-1], bool)
-            flags[begin[row] + (codes & (width[row] - 1))] = True
-            packed = np.packbits(flags, bitorder="little").tobytes()
-            bits = pa.array([packed[i:j] for i, j in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())], pa.binary())
+            bits = pa.array(_bits(codes, sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), prefix, bits], ["id", "n", "words", "size", "prefix", "bits"])
 
     rows = coded.select("id", "n", "words", "size", "codes")
@@ -173,35 +182,203 @@ def _verified(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.filter((F.col("lead") < left["id"]) & _similar(threshold)).select(left["id"].alias("id"), "lead")
 
 
+# A pair differs in at most H words, so of M segments, by hash, of all words at least M - H are equal in both sets.
+
+LADDER = [2]  # numbers of segments
+while LADDER[-1] < 1 << 40:
+    LADDER.append(-(-3 * LADDER[-1] // 2))
+WINDOW, LOCAL, FREQUENT = 1 << 22, 3, 8  # words that a task counts at once; in so many rows of those, and of all, a word is counted
+
+
+def _counts(kind: str) -> Callable:
+    """(id, h, c, n): id and holder of each row (id, h, codes), and words c that n rows of a window have, with id and h null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def frequent(like: pa.DataType) -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            values, n = values[n >= LOCAL], n[n >= LOCAL]
+            none = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([none.cast(like), none, pa.array(values), pa.array(n)], ["id", "h", "c", "n"])
+
+        for batch in batches:
+            none = pa.nulls(len(batch), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), none, none], ["id", "h", "c", "n"])
+            held.append(batch.column(2).flatten().to_numpy())
+            count += len(held[-1])
+            if count >= WINDOW:
+                yield frequent(batch.column(0).type)
+                held, count = [], 0
+        if count:
+            yield frequent(batch.column(0).type)
+
+    return run
+
+
+class Segments:
+    """Signatures of a row's segments, such that any two similar rows have one in common.
+
+    For sets of a and b words H is (1 - t) / (1 + t) of a + b, and M the first number of the ladder from 1.5 (H + 1). Two equal segments
+    have one signature. In one order of all signatures a row keeps the first Hmax + 1, Hmax for its partners with this M: of the M - H
+    or more that a pair shares, the first one has no more than H others before it in either row. The order puts those with rare
+    words first, so what rows share by chance, empty segments or frequent words, is at the end. A row has one or two M.
+    """
+
+    def __init__(self, words: np.ndarray, weights: np.ndarray, most: int, threshold: float):
+        self.words, self.weights, self.most, self.threshold = words, weights, most, threshold
+
+    def _apart(self, words: int) -> int:
+        return int((1 - self.threshold) / (1 + self.threshold) * words + 1e-9)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        size, weights = len(codes), np.full(len(codes), self.most)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
+            weights = np.where(self.words[at] == codes, self.weights[at], self.most)
+        low = self._apart(size + math.ceil(size * self.threshold - 1e-9))
+        high = self._apart(size + int(size / self.threshold + 1e-9))
+        codes, out = codes.view(np.uint64), []
+        for m in LADDER[bisect_left(LADDER, 1.5 * (low + 1)) : bisect_left(LADDER, 1.5 * (high + 1)) + 1]:
+            keep = min(high + 1, 2 * m // 3)
+            segment = ((codes >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
+            order = np.argsort(segment, kind="stable")
+            first = np.flatnonzero(np.diff(segment[order], prepend=-1))
+            content = np.zeros(m, np.uint64)
+            content[segment[order[first]]] = np.add.reduceat(codes[order], first)
+            names = content + (np.arange(m, dtype=np.uint64) << np.uint64(32) | np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15)
+            names = (names ^ (names >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            names ^= names >> np.uint64(32)
+            out.append(names[np.lexsort((names, -np.bincount(segment, weights, minlength=m)))[:keep]])
+        return np.concatenate(out)
+
+    def signed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(signature, h) of rows (h, codes)."""
+        for batch in batches:
+            holders, found, count = [], [], 0
+            for h, codes in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
+                found.append(self.of(codes))
+                holders.append(h)
+                count += len(found[-1])
+                if count >= 1 << 19:
+                    yield _signatures(found, holders)
+                    holders, found, count = [], [], 0
+            if found:
+                yield _signatures(found, holders)
+
+    def met(self, bits: np.ndarray, copied: np.ndarray) -> Callable:
+        """(id, h, w, several) of rows (id, h, codes) that have signatures `w` which the filter knows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shared = [w[known(bits, w)].view(np.int64) for w in map(self.of, _lists(batch.column(2)))]
+                some = np.flatnonzero([len(w) for w in shared])
+                lists = [shared[i] for i in some]
+                ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+                w = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+                rows = batch.take(pa.array(some))
+                several = pa.array(known(copied, rows.column(1).to_numpy().view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), w, several], ["id", "h", "w", "several"])
+
+        return run
+
+
+def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, t, bits) of rows (id, t, codes)."""
+    for batch in batches:
+        codes = batch.column(2)
+        bits = pa.array(_bits(codes.flatten().to_numpy(), codes.value_lengths().to_numpy()), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits], ["id", "t", "bits"])
+
+
+def _lists(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return (values[low:high] for low, high in zip(ends[:-1], ends[1:]))
+
+
+def _signatures(found: list[np.ndarray], holders: list[int]) -> pa.RecordBatch:
+    owners = np.repeat(np.array(holders, np.int64), [len(w) for w in found])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(owners)], ["w", "h"])
+
+
+def _coded(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, h, t, codes): the rows with words, their normalised texts with a hash, and the hashes of their words."""
+    normal = T.normalize_whitespace(F.lower(F.col(text)))
+    filled = explode_once(docs.select(F.col(key).alias("id"), F.array(normal).alias("o")), "o", "t").filter("t <> ''")
+    h = F.conv(F.substring(F.sha2("t", 256), 1, 15), 16, 10).cast("bigint")
+    codes = F.transform(F.array_distinct(F.split("t", " ")), lambda w: F.xxhash64(w))
+    return filled.select("id", h.alias("h"), "t", codes.alias("codes"))
+
+
+def _meetings(docs: DataFrame, threshold: float, key: str, text: str, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(id) of every distinct normalised text, the smallest key of its exact copies; and (id, w) for each of its segments that
+    other texts have too. Texts are not shuffled.
+    """
+    kind, coded = dict(docs.dtypes)[key], _coded(docs, key, text).drop("t")
+    made = keep(coded.mapInArrow(_counts(kind), f"id {kind}, h bigint, c bigint, n bigint"))
+    rows = made.filter("h is not null").select("id", "h")
+    often = made.filter("c is not null").groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    often = often.orderBy(F.desc("n"), "c").limit(MOST).toArrow()
+    order, total = np.argsort(often["c"].to_numpy()), max(rows.count(), FREQUENT)
+    weigh = lambda n: np.round(16 * np.log2(1 + total / n)).astype(np.int64)
+    segments = Segments(often["c"].to_numpy()[order], weigh(often["n"].to_numpy()[order]), int(weigh(np.array(FREQUENT / 2))), threshold)
+
+    copied = bitmap(rows.select("h"), as_it_is, keep)  # what several rows have
+    shared = bitmap(coded.select("h", "codes"), segments.signed, keep, copied)
+    met = keep(coded.mapInArrow(segments.met(shared, copied), f"id {kind}, h bigint, w array<bigint>, several boolean"))
+    once = met.filter("several").groupBy("h").agg(F.min("id").alias("id"), F.first("w").alias("w")).select("id", "w")
+    entries = keep(met.filter("not several").select("id", "w").unionByName(once).select("id", F.explode("w").alias("w")))
+    return keep(rows.groupBy("h").agg(F.min("id").alias("id")).select("id")), keep(_met(entries))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, n, size, words, bits) of the rows with these ids and of a few others; no text is shuffled."""
+    bits = bitmap(ids.select(F.xxhash64("id").alias("id")), as_it_is, keep, least=1)
+
+    @F.arrow_udf(BooleanType())
+    def wanted(hashes: pa.Array) -> pa.Array:
+        return pa.array(known(bits, hashes.to_numpy().view(np.uint64)))
+
+    coded = _coded(docs.filter(wanted(F.xxhash64(key))), key, text).select("id", "t", "codes")
+    marked = coded.mapInArrow(_with_bits, f"id {dict(docs.dtypes)[key]}, t string, bits binary")
+    words = F.array_distinct(F.split("t", " "))
+    return keep(explode_once(marked.select("id", F.length("t").alias("n"), "bits", F.array(words).alias("o")), "o", "words").withColumn("size", F.size("words")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keeper): greedy keep-first near-duplicate removal; keeper is null for kept rows, else the kept row that removed it.
 
-    A row goes when an earlier kept row has comparable length and word-set Jaccard of at least the threshold.
+    A row goes when an earlier kept row has comparable length and word-set Jaccard of at least the threshold. Similar rows share
+    a segment; most rows share none and stay where they are.
 
     Rounds: a row that is the smallest undecided id of all its buckets has no earlier undecided neighbour, so it is kept,
     and everything in those buckets is compared with it alone.  A round therefore makes at most one pair per bucket entry,
     however large a group of copies is.  Rounds go on while each takes a tenth of the entries or more; then the pairs left
     in the buckets are verified once and the same rule runs on the verified pairs.  Both ways are exact.
     """
-    sets = cut_lineage(_rare_first(_word_sets(docs, key, text), threshold))
-    index = cut_lineage(_met(_bucketed(sets, threshold)))
-    alone = sets.select("id").join(index.select("id").distinct(), "id", "left_anti")
-    decided, entries, before = [alone.select("id", F.lit(None).cast("bigint").alias("keeper"))], index.count(), math.inf
-    while entries and entries <= 0.9 * before:
-        before = entries
-        leads = index.groupBy("w").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        led = cut_lineage(index.join(leads, "w", "left").select("id", "w", F.coalesce("lead", "id").alias("lead")))
-        first = led.groupBy("id").agg(F.min((F.col("id") == F.col("lead")).cast("int")).alias("first")).filter("first = 1").select("id")
-        kept = cut_lineage(first)
-        followers = led.filter(F.col("id") != F.col("lead")).select("id", "lead").distinct()
-        tried = followers.join(kept.withColumnRenamed("id", "lead"), "lead", "left_semi").select("id", "lead")
-        dropped = cut_lineage(_matches(tried, sets, threshold))
-        decided += [kept.select("id", F.lit(None).cast("bigint").alias("keeper")), dropped]
-        gone = kept.select("id").unionByName(dropped.select("id"))
-        index = cut_lineage(index.join(gone, "id", "left_anti"))
-        entries = index.count()
-    rest = _keep_first(index.select("id").distinct(), cut_lineage(_pairs_within(index, sets, threshold)))
-    return reduce(DataFrame.unionByName, [*decided, rest]).select(F.col("id").alias(key), "keeper")
+    with scratch(docs.sparkSession) as keep:
+        rows, index = _meetings(docs, threshold, key, text, keep)
+        ids = keep(index.select("id").distinct())
+        sets = _sets_of(docs, ids, key, text, keep)
+        alone = keep(rows.join(ids, "id", "left_anti"))
+        decided, entries, before = [alone.select("id", F.lit(None).cast("bigint").alias("keeper"))], index.count(), math.inf
+        while entries and entries <= 0.9 * before:
+            before = entries
+            leads = index.groupBy("w").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+            led = keep(index.join(leads, "w", "left").select("id", "w", F.coalesce("lead", "id").alias("lead")))
+            first = led.groupBy("id").agg(F.min((F.col("id") == F.col("lead")).cast("int")).alias("first")).filter("first = 1").select("id")
+            kept = keep(first)
+            followers = led.filter(F.col("id") != F.col("lead")).select("id", "lead").distinct()
+            tried = followers.join(kept.withColumnRenamed("id", "lead"), "lead", "left_semi").select("id", "lead")
+            dropped = keep(_matches(tried, sets, threshold))
+            decided += [kept.select("id", F.lit(None).cast("bigint").alias("keeper")), dropped]
+            gone = kept.select("id").unionByName(dropped.select("id"))
+            left = keep(index.join(gone, "id", "left_anti"))
+            keep.drop(led), keep.drop(index)
+            index, entries = left, left.count()
+        last = index.join(sets.select("id", "n", "size", F.col("size").alias("left")), "id")
+        rest = _keep_first(keep(index.select("id").distinct()), cut_lineage(_pairs_within(last, sets, threshold)))
+        return cut_lineage(reduce(DataFrame.unionByName, [*decided, rest]).select(F.col("id").alias(key), "keeper"))
 
 
 def _met(index: DataFrame) -> DataFrame:

@@ -204,6 +204,41 @@ def test_near_duplicate_pairs_are_excluded_by_bitmaps(spark):
     assert alike <= left and 24 <= len(alike) and len(left) < len(alike) + (len(pairs) - len(alike)) / 20
 
 
+def test_similar_sets_share_a_segment():
+    """At the edge of the threshold, whatever the sizes and weights; sets that share half of their words seldom share one."""
+    rng = np.random.default_rng(8)
+    words = np.unique(rng.integers(-(2**63), 2**63 - 1, 3000))
+    segments = dedup.Segments(words, rng.integers(0, 100, len(words)), 160, 0.8)
+    chance = 0
+    for size in [*range(1, 60), 97, 200, 333, 800, 2000]:
+        for _ in range(4):
+            own = rng.permutation(words)[:size]
+            drop = int(rng.integers(0, size // 5 + 1))  # a of the words go, b come: (size - a) / (size + b) >= 0.8
+            more = int((size - drop) / 0.8 + 1e-9) - size
+            other = np.concatenate([own[drop:], rng.integers(-(2**63), 2**63 - 1, more)])
+            assert (size - drop) / (size + more) >= 0.8
+            mine = segments.of(rng.permutation(own))
+            assert np.isin(mine, segments.of(other)).any() and len(mine) <= 0.5 * size + 3
+            half = np.concatenate([own[: size // 2], rng.integers(-(2**63), 2**63 - 1, size - size // 2)])
+            chance += size >= 40 and np.isin(mine, segments.of(half)).mean() > 0.25
+    assert chance < 4
+
+
+def test_rows_that_share_words_but_no_segment_do_not_meet(spark):
+    """All share a word that is rare in the table; it was a bucket of all rows, and so of pairs of all rows."""
+    rng = random.Random(12)
+    rows = [(i, "rare " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(40)] + [(50, " ".join(f"w{i}" for i in range(60)))]
+    rows += [(51, rows[-1][1] + " more"), (52, rows[3][1]), (53, rows[3][1].upper() + " "), (54, ""), (55, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    with dedup.scratch(spark) as keep:
+        ids, index = dedup._meetings(df, 0.8, "doc_id", "text", keep)
+        assert sorted(r["id"] for r in ids.collect()) == [*range(40), 50, 51]
+        assert {50, 51} <= {r["id"] for r in index.collect()} and index.select("id").distinct().count() < 15
+        assert {r["id"] for r in dedup._sets_of(df, index.select("id").distinct(), "doc_id", "text", keep).collect()} >= {50, 51}
+    got = {r["doc_id"]: r["keeper"] for r in dedup.near_duplicates(df).collect()}
+    assert got == {**dict.fromkeys([*range(40), 50]), 51: 50}
+
+
 def test_near_duplicates_order_words_by_frequency(spark):
     """The order knows the frequent words however many rare ones there are: all share `every`, none has it in its prefix."""
     rows = [(i, "every " + " ".join(f"w{i}x{j}" for j in range(20)) + f" pair{i // 2}") for i in range(40)]
