@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -84,6 +84,18 @@ def _bits(codes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [packed[i:j] for i, j in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())]
 
 
+PARITIES = ["k0", "k1", "k2", "k3"]
+
+
+def _parities(codes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """256 bits for each list of hashes, as four numbers: whether an odd number of them has a remainder. Each hash that one
+    list has and another has not changes one bit."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    odd = (np.bincount(row * 256 + ((codes >> 32) & 255), minlength=256 * len(sizes)) & 1).astype(np.uint8)
+    bits = np.packbits(odd.reshape(-1, 256), axis=1, bitorder="little").view(np.int64)
+    return [np.ascontiguousarray(bits[:, i]) for i in range(len(PARITIES))]
+
+
 def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
     """Adds `prefix`, the hashes of the words of a set that any similar set must share one of, rarest first, and `bits`.
 
@@ -284,11 +296,11 @@ class Segments:
 
 
 def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, t, bits) of rows (id, t, codes)."""
+    """(id, t, bits, k0, ...) of rows (id, t, codes)."""
     for batch in batches:
-        codes = batch.column(2)
-        bits = pa.array(_bits(codes.flatten().to_numpy(), codes.value_lengths().to_numpy()), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits], ["id", "t", "bits"])
+        codes, sizes = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+        columns = [batch.column(0), batch.column(1), pa.array(_bits(codes, sizes), pa.binary()), *map(pa.array, _parities(codes, sizes))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "t", "bits", *PARITIES])
 
 
 def _lists(lists: pa.ListArray) -> Iterator[np.ndarray]:
@@ -332,7 +344,7 @@ def _meetings(docs: DataFrame, threshold: float, key: str, text: str, keep: Call
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, n, size, words, bits) of the rows with these ids and of a few others; no text is shuffled."""
+    """(id, n, size, words, bits, k0, ...) of the rows with these ids and of a few others; no text is shuffled."""
     bits = bitmap(ids.select(F.xxhash64("id").alias("id")), as_it_is, keep, least=1)
 
     @F.arrow_udf(BooleanType())
@@ -340,9 +352,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, keep: Callabl
         return pa.array(known(bits, hashes.to_numpy().view(np.uint64)))
 
     coded = _coded(docs.filter(wanted(F.xxhash64(key))), key, text).select("id", "t", "codes")
-    marked = coded.mapInArrow(_with_bits, f"id {dict(docs.dtypes)[key]}, t string, bits binary")
+    marked = coded.mapInArrow(_with_bits, f"id {dict(docs.dtypes)[key]}, t string, bits binary, {', '.join(f'{k} bigint' for k in PARITIES)}")
     words = F.array_distinct(F.split("t", " "))
-    return keep(explode_once(marked.select("id", F.length("t").alias("n"), "bits", F.array(words).alias("o")), "o", "words").withColumn("size", F.size("words")))
+    return keep(explode_once(marked.select("id", F.length("t").alias("n"), "bits", *PARITIES, F.array(words).alias("o")), "o", "words").withColumn("size", F.size("words")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,7 +388,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
             left = keep(index.join(gone, "id", "left_anti"))
             keep.drop(led), keep.drop(index)
             index, entries = left, left.count()
-        last = index.join(sets.select("id", "n", "size", F.col("size").alias("left")), "id")
+        last = index.join(sets.select("id", "n", "size", *PARITIES), "id")
         rest = _keep_first(keep(index.select("id").distinct()), cut_lineage(_pairs_within(last, sets, threshold)))
         return cut_lineage(reduce(DataFrame.unionByName, [*decided, rest]).select(F.col("id").alias(key), "keeper"))
 
@@ -392,16 +404,17 @@ def _matches(tried: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _pairs_within(index: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Verified (id, lead) pairs of undecided rows that share a prefix word and can have enough words in common.
+    """Verified (id, lead) pairs of undecided rows (id, w, n, size, k0, ...) that share a bucket.
 
-    At the first word that two sets share, what they have in common is at most the words that either has left, this one
-    included; a pair that fails there has failed.
+    Entries bring parities of their words, so that most pairs of unlike rows end in the join that makes them: what is shuffled
+    grows with the entries, not with their pairs.
     """
-    earlier = index.select("w", F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("size").alias("ls"), F.col("left").alias("ll"))
+    earlier = index.select("w", F.col("id").alias("lead"), *[F.col(c).alias(f"l{c}") for c in ("n", "size", *PARITIES)])
     close = (F.abs(F.col("n") - F.col("ln")) <= F.greatest("n", "ln") * (1 - threshold)) & (
-        F.least("size", "ls") >= F.greatest("size", "ls") * threshold - 1e-9
+        F.least("size", "lsize") >= F.greatest("size", "lsize") * threshold - 1e-9
     )
-    enough = (1 + threshold) * F.least("left", "ll") >= threshold * (F.col("size") + F.col("ls")) - 1e-9
+    apart = reduce(Column.__add__, [F.bit_count(F.col(k).bitwiseXOR(F.col(f"l{k}"))) for k in PARITIES])
+    enough = (1 + threshold) * apart <= (1 - threshold) * (F.col("size") + F.col("lsize")) + 1e-9
     tried = earlier.join(index, "w").filter((F.col("lead") < F.col("id")) & close & enough).select("id", "lead").distinct()
     return _verified(tried, sets, threshold)
 

@@ -224,6 +224,16 @@ def test_similar_sets_share_a_segment():
     assert chance < 4
 
 
+def test_pairs_are_excluded_where_they_are_made():
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(-(2**63), 2**63 - 1, size) for size in (3, 40, 40, 300, 300)]
+    sets += [np.append(s[1:], 7) for s in sets]
+    kinds = np.array(dedup._parities(np.concatenate(sets), np.array([len(s) for s in sets]))).view(np.uint64)
+    apart = np.bitwise_count(kinds[:, :, None] ^ kinds[:, None, :]).sum(axis=0)
+    assert all(0 < apart[i, i + 5] <= 2 for i in range(5))
+    assert apart[1, 2] > (40 + 40) / 9 and apart[3, 4] > (300 + 300) / 9
+
+
 def test_rows_that_share_words_but_no_segment_do_not_meet(spark):
     """All share a word that is rare in the table; it was a bucket of all rows, and so of pairs of all rows."""
     rng = random.Random(12)
